@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from pagelith.llm.line_dedup import OP8_SQL, op8_line_dedup
+from pagelith.llm.packing import op5_packing
 from pagelith.llm.quality_rules import op6_quality_rules
 
-QUERIES = {"op6_quality_rules": op6_quality_rules, "op8_line_dedup": op8_line_dedup}
+QUERIES = {
+    "op5_packing": op5_packing,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
+}
 
 ORACLES = {"op8_line_dedup": OP8_SQL}
