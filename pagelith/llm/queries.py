@@ -5,10 +5,12 @@ from __future__ import annotations
 from pagelith.llm.line_dedup import OP8_SQL, op8_line_dedup
 from pagelith.llm.packing import op5_packing
 from pagelith.llm.quality_rules import op6_quality_rules
+from pagelith.llm.substring_dedup import op4_substring_dedup
 from pagelith.llm.suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op8_line_dedup": op8_line_dedup,
