@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pagelith.llm.line_dedup import OP8_SQL, op8_line_dedup
+from pagelith.llm.near_duplicates import op7_ngram_jaccard
 from pagelith.llm.packing import op5_packing
 from pagelith.llm.quality_rules import op6_quality_rules
 from pagelith.llm.substring_dedup import op4_substring_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_line_dedup": op8_line_dedup,
 }
 
