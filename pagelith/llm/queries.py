@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pagelith.llm.decontamination import op3_decontamination
 from pagelith.llm.line_dedup import OP8_SQL, op8_line_dedup
 from pagelith.llm.near_duplicates import op7_ngram_jaccard
 from pagelith.llm.packing import op5_packing
@@ -11,6 +12,7 @@ from pagelith.llm.suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
