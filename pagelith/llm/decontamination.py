@@ -33,7 +33,7 @@ def template_text(text: Column) -> Column:
     """Text with placeholders, lower-cased, without punctuation; white space stays, so tokens stay aligned."""
     t = F.regexp_replace(text, r"(?<![\p{L}\p{N}_])[+-]?[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
     t = F.regexp_replace(t, rf"(?i)(?<={NUMBER} ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
-    t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}\p{{N}}{NUMBER},;] )\p{{Lu}}[\p{{L}}'’-]*", NAME)
+    t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}\p{{N}}{NUMBER},;] )\p{{Lu}}\p{{Ll}}[\p{{L}}'’-]*", NAME)
     t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUMBER}{UNIT}{NAME}\s]+", "")
     return F.btrim(t, F.lit(SPACE))
 
