@@ -160,11 +160,11 @@ def _phone(key: str, m: Column) -> Column:
 def _ip(key: str, m: Column) -> Column:
     def solve(o: Column) -> Column:
         at = lambda i: F.get(o, F.lit(i))
-        ok = F.forall(o, lambda v: v <= 255) & at(0).between(1, 223)
+        ok = F.forall(o, lambda v: v <= 255)
         new = lambda p: F.concat_ws(
-            ".", (F.floor(p["x"] / 256) + 1).cast("string"), (p["x"] % 256).cast("string"), F.floor(p["y"] / 256).cast("string"), (p["y"] % 256).cast("string")
+            ".", F.floor(p["x"] / 256).cast("string"), (p["x"] % 256).cast("string"), F.floor(p["y"] / 256).cast("string"), (p["y"] % 256).cast("string")
         )
-        return F.when(ok, _bind(permute_pair(key, "ip", (at(0) - 1) * 256 + at(1), at(2) * 256 + at(3), 223 * 256, 65536), new))
+        return F.when(ok, _bind(permute_pair(key, "ip", at(0) * 256 + at(1), at(2) * 256 + at(3), 65536, 65536), new))
 
     return _bind(F.transform(F.split(m, r"\."), lambda v: v.cast("int")), solve)
 
