@@ -10,6 +10,7 @@ from pagelith.llm.pseudonyms import op10_pii_pseudonyms
 from pagelith.llm.quality_rules import op6_quality_rules
 from pagelith.llm.substring_dedup import op4_substring_dedup
 from pagelith.llm.suffix_dedup import op1_suffix_dedup
+from pagelith.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_line_dedup": op8_line_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_pii_pseudonyms": op10_pii_pseudonyms,
 }
 
