@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pagelith.llm.decontamination import op3_decontamination
+from pagelith.llm.html_extraction import op2_html_extraction
 from pagelith.llm.line_dedup import OP8_SQL, op8_line_dedup
 from pagelith.llm.near_duplicates import op7_ngram_jaccard
 from pagelith.llm.packing import op5_packing
@@ -14,6 +15,7 @@ from pagelith.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_html_extraction": op2_html_extraction,
     "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
