@@ -1,11 +1,68 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: documents to packed training sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. The
+first four return the columns of documents, the last the pieces of sequences. Null
+texts are empty texts; a document that lines are dropped from has n_chars made anew.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagelith.llm import decontamination, line_dedup, near_duplicates, packing, quality_rules
+from pagelith.llm.common import materialise, read, row_keys
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or that the trees reject go."""
+    return quality_rules.keep(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share go, but for those of the largest doc_id."""
+    found = line_dedup.dedup_lines(docs, carry=True)
+    columns = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return found.select(*((columns[c] if c in columns else F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least doc_id of each group of near duplicates stays."""
+    lowest = F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))
+    groups = near_duplicates.near_duplicates(docs)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(lowest.alias("stays")).distinct()
+    kept = row_keys(docs, carry=True).join(stay, lowest == F.col("stays"), "left_semi").dropDuplicates(["k1"])
+    return kept.select(*((F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    leaks = decontamination.leaks(docs, read(spark, sf_dir, "benchmark")).select("k1").distinct()
+    kept = row_keys(docs, carry=True).join(leaks, "k1", "left_anti")
+    return kept.select(*((F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("near duplicates", near),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
+
+#: SQL cannot express the trees, the shingle join or the tokens; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each stage's rows written as Parquet and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialise(docs, f"stage-{i}")
     return docs

@@ -39,10 +39,12 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def row_keys(df: DataFrame) -> DataFrame:
-    """doc_id, text without nulls, and a 128-bit key of the row and of its text."""
+def row_keys(df: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, text without nulls, a key of the row (k1) and of its text (k2); with carry, the other columns as struct row."""
     text = text_or_empty()
+    others = [F.struct(*(F.col(f"`{c}`") for c in df.columns if c != "text")).alias("row")] if carry else []
     return df.select(
+        *others,
         F.col("doc_id").cast("long").alias("doc_id"),
         text.alias("text"),
         F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), text).alias("k1"),

@@ -28,10 +28,11 @@ def _line_hashes(keyed: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, salts: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, salts: int = 16, carry: bool = False) -> DataFrame:
     """Drops lines whose key is in at least min_docs documents, except in the largest doc_id that holds it.
 
-    Input: documents(doc_id, text, ...). Returns doc_id, n_lines, n_dropped, kept_text.
+    Input: documents(doc_id, text, ...). Returns doc_id, n_lines, n_dropped, kept_text;
+    with carry, also the input row as a struct named row.
     Null or empty text is one empty line. Rows that repeat a doc_id are the same
     document when lines are counted, and each gives its own result row. A null
     doc_id counts as one more document, below all others. Empty table: empty
@@ -39,6 +40,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, salts:
     ties need no special case: positions decide.
     """
     keyed = row_keys(docs)
+    whole = row_keys(docs, carry=True) if carry else keyed
     lines = _line_hashes(keyed, min_chars)
     doc = F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long"))
     frequent = (
@@ -57,13 +59,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, salts:
         .groupBy("k1", "k2")
         .agg(F.collect_set("pos").alias("gone"))
     )
-    parts = F.split("text", "\n")
+    parts, kept = F.split("text", "\n"), ["row"] if carry else []
     gone = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
     return (
-        keyed.join(dropped, ["k1", "k2"], "left")
-        .select("doc_id", parts.alias("parts"), gone.alias("gone"))
+        whole.join(dropped, ["k1", "k2"], "left")
+        .select("doc_id", parts.alias("parts"), gone.alias("gone"), *kept)
         .select(
             "doc_id",
+            *kept,
             F.size("parts").cast("long").alias("n_lines"),
             F.size("gone").cast("long").alias("n_dropped"),
             F.when(F.size("gone") == 0, F.array_join("parts", "\n"))

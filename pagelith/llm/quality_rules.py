@@ -130,6 +130,21 @@ def judge(docs: DataFrame, forest: trees.Forest, reject_at: float = REJECT_AT) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(batches, OUT)
 
 
+def keep(docs: DataFrame, forest: trees.Forest, reject_at: float = REJECT_AT) -> DataFrame:
+    """The input rows, with all their columns, that judge keeps."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            if not b.num_rows:
+                continue
+            found = [statistics(t.as_py()) for t in b.column("text")]
+            failed = np.array([base_failed(c[0], c[4]) for c, _ in found])
+            score = forest.score(np.array([x for _, x in found]))
+            yield b.filter(pa.array(~failed & (score < reject_at)))
+
+    return docs.mapInArrow(batches, docs.schema)
+
+
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return judge(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
