@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pagelith.plans import document_queries
+
+QUERIES: dict = dict(document_queries.QUERIES)
+ORACLES: dict = dict(document_queries.ORACLES)
