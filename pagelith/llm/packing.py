@@ -11,9 +11,13 @@ gathered but counts.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,30 +41,81 @@ def default_tokenizer_path() -> str:
 # --- tokens --------------------------------------------------------------------------------------
 
 
+#: Texts of these characters only are normalised by lower-casing alone, and split by UNITS.
+SAFE = bytes([*range(9, 14), *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+#: The tokenizer's own split, on lower-cased safe text.
+UNITS = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\sa-z0-9ß-öø-ÿ]+")
+
+
+def is_safe(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, SAFE)
+    except UnicodeEncodeError:
+        return False
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Units(dict):
+    """Ids of units as bytes; one not met before is merged by the tokenizer's model."""
+
+    def __init__(self, model, code: str, most: int):
+        super().__init__()
+        self.model, self.code, self.most, self.letters = model, code, most, byte_letters()
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) > self.most:
+            for u in list(self)[: self.most // 2]:
+                del self[u]
+        letters = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
+        self[unit] = ids = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return ids
+
+
 class Encoder:
-    """Ids of whole texts, equal to the tokenizer's own; chunks between ASCII blanks are looked up."""
+    """Ids of whole texts as bytes (16 or 32 bits each), equal to the tokenizer's own.
+
+    The tokenizer merges within the units that its split makes, so the ids of a unit
+    are looked up. Chunks between blanks with other than safe characters go to the
+    tokenizer as they are, and texts with a special token's name go whole.
+    """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 1_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.cache = Tokenizer.from_file(path), {}, cache
+        self.tokenizer = Tokenizer.from_file(path)
+        top = max(self.tokenizer.get_vocab().values())
+        self.type = "<u2" if top < 65536 else "<u4"
+        self.units = _Units(self.tokenizer.model, "H" if top < 65536 else "I", cache)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        plain = [not any(s in t for s in self.special) for t in texts]
-        chunks = [t.replace("\n", " ").split(" ") if ok else None for t, ok in zip(texts, plain)]
-        new = list({c for cs in chunks if cs is not None for c in cs if c not in self.known})
-        if len(self.known) + len(new) > self.cache:
-            self.known.clear()
-            new = list({c for cs in chunks if cs is not None for c in cs})
-        if new:
-            self.known.update(zip(new, self._encode(new)))
-        known = self.known
-        return [self._encode([t])[0] if cs is None else b"".join([known[c] for c in cs]) for t, cs in zip(texts, chunks)]
+        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _safe(self, text: str) -> bytes:
+        return b"".join(map(self.units.__getitem__, UNITS.findall(text.lower())))
+
+    def one(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self._encode([text])[0]
+        if is_safe(text):
+            return self._safe(text)
+        chunks = text.replace("\n", " ").split(" ")
+        ok = [is_safe(c) for c in chunks]
+        odd = iter(self._encode([c for c, x in zip(chunks, ok) if not x]))
+        return b"".join([self._safe(c) if x else next(odd) for c, x in zip(chunks, ok)])
+
+
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process, so that its units serve the next task too."""
+    return Encoder(path)
 
 
 # --- plan ----------------------------------------------------------------------------------------
@@ -206,23 +261,22 @@ def tokenised(docs: DataFrame, path: str, window: int) -> DataFrame:
     """Ids (unsigned 16 or 32 bits) with the row's rank, within its task, among remainders of its length."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, rank, fulls = Encoder(path), np.zeros(window, np.int64), 0
+        encoder, rank, fulls = shared_encoder(path), np.zeros(window, np.int64), 0
         for b in rows:
-            part = b.column("part")
             ids, n, ranks, before = [], [], [], []
-            texts = b.column("text").to_pylist()
-            for lo in range(0, len(texts), 256):
-                for raw in encoder.many(texts[lo : lo + 256]):
-                    array = np.append(np.frombuffer(raw, "<u4"), END_ID)
-                    rest = len(array) % window
-                    ids.append(array.astype("<u4" if array.max() > 65535 else "<u2").tobytes())
-                    n.append(len(array))
-                    ranks.append(rank[rest])
-                    before.append(fulls)
-                    rank[rest] += 1
-                    fulls += len(array) // window
+            size, end = int(encoder.type[-1]), np.array([END_ID], encoder.type).tobytes()
+            for text in b.column("text"):
+                raw = encoder.one(text.as_py())
+                count = len(raw) // size + 1
+                rest = count % window
+                ids.append(raw + end)
+                n.append(count)
+                ranks.append(rank[rest])
+                before.append(fulls)
+                rank[rest] += 1
+                fulls += count // window
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), part, pa.array(ranks, pa.int64()), pa.array(before, pa.int64())],
+                [b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), b.column("part"), pa.array(ranks, pa.int64()), pa.array(before, pa.int64())],
                 ["doc_id", "ids", "n", "part", "rank", "fulls"],
             )
 
