@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelith.functions import text as T
+from pagelith.operators.grouped import grouped
 
 ALIGNED, FALLBACK = 0.9, 0.98
 
@@ -82,14 +82,13 @@ ALIGNED_SCHEMA = "doc_id long, segment long, move string, i long, j long, confid
 def align_segments(scores: DataFrame, penalty: float = 0.8) -> DataFrame:
     """scores(doc_id, segment, i, j, score): the best alignment of each segment; scores are clipped to 0..1."""
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        table = np.zeros((int(rows.i.max()) + 1, int(rows.j.max()) + 1))
-        table[rows.i, rows.j] = np.clip(np.nan_to_num(rows.score.to_numpy(float)), 0, 1)
-        found = align(table, penalty)
-        key = rows.iloc[0]
-        return pd.DataFrame([(key.doc_id, key.segment, *move) for move in found], columns=["doc_id", "segment", "move", "i", "j", "confidence"])
+    def solve(rows: list[dict]) -> list[tuple]:
+        table = np.zeros((max(r["i"] for r in rows) + 1, max(r["j"] for r in rows) + 1))
+        for r in rows:
+            table[r["i"], r["j"]] = min(1.0, max(0.0, r["score"] or 0.0))
+        return [(rows[0]["doc_id"], rows[0]["segment"], *move) for move in align(table, penalty)]
 
-    return scores.groupBy("doc_id", "segment").applyInPandas(solve, ALIGNED_SCHEMA)
+    return grouped(scores, ["doc_id", "segment"], ["i", "j"], solve, ALIGNED_SCHEMA)
 
 
 def score_texts(sources: DataFrame, targets: DataFrame, score: Callable) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelith.operators.grouped import grouped
+
 
 def position_index(blocks: DataFrame, page_height: float) -> DataFrame:
     """Absolute top and bottom of blocks(doc_id, block_id, page, y, h)."""
@@ -57,17 +58,16 @@ LOCK = "project long, seq long, side string, at long, sync boolean"
 def replay_lock(scrolls: DataFrame, lock_ms: int = 150) -> DataFrame:
     """Which scrolls(project, seq, side, at) pass: the same side waits until the lock of the last pass ends."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        side, until, passed = None, 0, []
-        rows = rows.sort_values(["at", "seq"])
-        for s, at in zip(rows.side, rows["at"]):
-            ok = not (s == side and at < until)
+    def run(rows: list[dict]) -> list[tuple]:
+        side, until, out = None, 0, []
+        for r in rows:
+            ok = not (r["side"] == side and r["at"] < until)
             if ok:
-                side, until = s, at + lock_ms
-            passed.append(ok)
-        return rows.assign(sync=passed)[["project", "seq", "side", "at", "sync"]]
+                side, until = r["side"], r["at"] + lock_ms
+            out.append((r["project"], r["seq"], r["side"], r["at"], ok))
+        return out
 
-    return scrolls.groupBy("project").applyInPandas(run, LOCK)
+    return grouped(scrolls, ["project"], ["at", "seq"], run, LOCK)
 
 
 def reader_units(units: DataFrame, blocks: DataFrame) -> DataFrame:

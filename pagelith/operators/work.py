@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelith.operators.grouped import grouped
+
 MAX_TOKENS, MAX_BLOCKS = 4000, 8
 #: Artifact kinds that any formal or layout change makes stale; kinds that a page plan owns (fixed values).
 OUTPUT_KINDS = "chinese-pdf typst-source typst-preview alignment-manifest quality-report project-package structure-diagnostic".split()
@@ -112,7 +113,7 @@ def first_occurrences(blocks: DataFrame, terms: DataFrame) -> DataFrame:
     """The first block, in order, that contains each whole term."""
     t = terms.select("doc_id", "term")
     pattern = F.concat(F.lit(r"(?:^|[^\p{L}\p{N}_])\Q"), F.col("term"), F.lit(r"\E(?=$|[^\p{L}\p{N}_])"))
-    hits = blocks.join(t, "doc_id").where(F.contains(F.lower("text"), F.col("term"))).where(F.lower("text").rlike(pattern))
+    hits = blocks.join(t, "doc_id").where(F.contains(F.lower("text"), F.col("term"))).where(F.rlike(F.lower("text"), pattern))
     return hits.groupBy("doc_id", "term").agg(F.min_by("block_id", "ord").alias("block_id"))
 
 
@@ -168,16 +169,16 @@ STATE = "project long, stage string, status string, completed long, total long,
 def replay(events: DataFrame) -> DataFrame:
     """The last state of each project from events(project, seq, type, count); events not allowed are counted."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list[dict]) -> list[tuple]:
         state, rejected = dict(IDLE), 0
-        for e in rows.sort_values("seq").to_dict("records"):
+        for e in rows:
             try:
                 state = reduce_event(state, e)
             except ValueError:
                 rejected += 1
-        return pd.DataFrame([(rows.project.iloc[0], state["stage"], state["status"], state["completed"], state["total"], rejected)], columns=[c.split()[0] for c in STATE.split(", ")])
+        return [(rows[0]["project"], state["stage"], state["status"], state["completed"], state["total"], rejected)]
 
-    return events.groupBy("project").applyInPandas(fold, STATE)
+    return grouped(events, ["project"], ["seq"], fold, STATE)
 
 
 def ai_log(events: DataFrame, keep: int = 200) -> DataFrame:

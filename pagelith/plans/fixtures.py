@@ -88,8 +88,9 @@ def ai_log(spark: SparkSession, d: str) -> DataFrame:
 def rects(spark: SparkSession, d: str) -> DataFrame:
     """Line items as rectangles on a page per order."""
     r = lambda c: F.round(c).cast("int")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax")
     return table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("id"), r(10 * F.col("l_quantity")).alias("x"), r(1000 * F.col("l_discount")).alias("y"),
+        F.col("l_orderkey").alias("page"), F.row_number().over(w).cast("long").alias("id"), r(10 * F.col("l_quantity")).alias("x"), r(1000 * F.col("l_discount")).alias("y"),
         r(40 + 1000 * F.col("l_tax")).alias("w"), F.lit(30).alias("h"),
     )
 
@@ -128,11 +129,11 @@ SQL["pairs"] = """pairs AS (SELECT doc_id, ord, substr(block_id, 2) AS source_id
 SQL["terms"] = "terms AS (SELECT doc_id, 'first' AS term, substr(text, 1, 4) AS abbr FROM documents WHERE text IS NOT NULL)"
 SQL["turn_pairs"] = """turn_pairs AS (SELECT conv_id, turn, text AS source, target FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS target
     FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant')"""
-SQL["ai_log"] = "ai_log AS (SELECT user_id AS project, event_id AS seq, ts AS at, event_type AS type, value AS elapsed, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens FROM events)"
-SQL["rects"] = """rects AS (SELECT l_orderkey AS page, l_linenumber::BIGINT AS id, round(10 * l_quantity)::INT AS x, round(1000 * l_discount)::INT AS y,
+SQL["ai_log"] = """ai_log AS (SELECT user_id AS project, event_id AS seq, ts AS "at", event_type AS type, value AS elapsed, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens FROM events)"""
+SQL["rects"] = """rects AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax) AS id, round(10 * l_quantity)::INT AS x, round(1000 * l_discount)::INT AS y,
     round(40 + 1000 * l_tax)::INT AS w, 30 AS h FROM lineitem)"""
 SQL["artifacts"] = """artifacts AS (SELECT o_orderkey AS key, o_custkey AS project_id, ['english-pdf', 'vision-layout', 'accepted-page-plan', 'formula-ocr', 'chinese-pdf',
-    'quality-report', 'raw-vision-response'][o_orderkey % 7 + 1] AS kind, [(o_orderkey % 4)::INT] AS pages, o_orderdate AS at FROM orders)"""
+    'quality-report', 'raw-vision-response'][o_orderkey % 7 + 1] AS kind, [(o_orderkey % 4)::INT] AS pages, o_orderdate AS "at" FROM orders)"""
 NEEDS = {
     "raw_blocks": ["lines"], "blocks": ["lines", "raw_blocks"], "targets": ["lines", "raw_blocks"], "pairs": ["lines", "raw_blocks", "targets"],
 }
