@@ -24,6 +24,14 @@ FUNCTION_WORDS = (
 FORMULA_WORDS = r"(?i)(?<![A-Za-z0-9_])(?:the|a|an|and|or|of|to|in|for|with|that|this|is|are|was|were|as|by|from|on|at|if|when|where|whether|we|need)(?![A-Za-z0-9_])"
 
 
+#: What is trimmed: all white space, not blanks only.
+SPACES = " \t\n\x0b\x0c\r\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def strip(text) -> Column:
+    return F.btrim(F.col(text) if isinstance(text, str) else text, F.lit(SPACES))
+
+
 def caption_suffix_ok(suffix: Column) -> Column:
     """Does what follows a caption's number read as a caption rather than a sentence?"""
     t = F.ltrim(suffix)
@@ -36,7 +44,7 @@ def caption_suffix_ok(suffix: Column) -> Column:
 
 
 def _lines_any(text: Column, test) -> Column:
-    return F.exists(F.split(text, r"\r?\n"), lambda line: test(F.trim(line)))
+    return F.exists(F.split(text, r"\r?\n"), lambda line: test(strip(line)))
 
 
 def is_figure_caption(text: Column) -> Column:
@@ -65,7 +73,7 @@ def is_numbered_caption(text: Column) -> Column:
 
 def is_display_formula(text: Column) -> Column:
     """A centred line that scores as mathematics and does not read as prose."""
-    t = F.regexp_replace(F.trim(text), r"\s+", " ")
+    t = F.regexp_replace(strip(text), r"\s+", " ")
     n = lambda p: F.regexp_count(t, F.lit(p))
     words, relations = n("[A-Za-z]{3,}"), n("[=≠≈≤≥<>]")
     variables = n(r"(?:^|[\s,(])[A-Za-z](?:_[A-Za-z0-9]+)?(?=$|[\s,)=+*/^])")
@@ -86,7 +94,7 @@ def section_number(text: Column) -> Column:
 
 def numbered_label(text: Column) -> Column:
     """fig3, tab2 or eq7 by the text's head, else null."""
-    t = F.trim(text)
+    t = strip(text)
     part = lambda p, kind: F.when(t.rlike(p), F.concat(F.lit(kind), F.regexp_extract(t, p, 1)))
     return F.coalesce(
         part(r"(?i)^(?:fig(?:ure)?\.?)\s*(\d+)", "fig"), part(r"^图\s*(\d+)", "fig"), part(r"(?i)^(?:table)\s*(\d+)", "tab"), part(r"^表\s*(\d+)", "tab"),
@@ -96,7 +104,7 @@ def numbered_label(text: Column) -> Column:
 
 def anchor_label(kind: Column, text: Column) -> Column:
     """Language-neutral label of a section or caption, else null."""
-    t, number = F.trim(text), section_number(F.trim(text))
+    t, number = strip(text), section_number(strip(text))
     section = (
         F.when(number.isNotNull(), F.concat(F.lit("sec"), number))
         .when(t.rlike("(?i)^(abstract|摘要)"), F.lit("abstract"))
@@ -139,7 +147,7 @@ def sentences(text: Column) -> Column:
     t = F.regexp_replace(t, r"(?i)(e|i)\.(g|e)\.", "$1\u0001$2\u0001")
     t = F.regexp_replace(t, r"(\d)\.(\d)", "$1\u0001$2")
     parts = F.split(t, r"(?<=[。！？!?;；.．])\s*|\n+")
-    return F.filter(F.transform(parts, lambda p: F.trim(F.translate(p, "\u0001", "."))), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: strip(F.translate(p, "\u0001", "."))), lambda p: p != "")
 
 
 def token_estimate(text: Column) -> Column:
@@ -161,7 +169,7 @@ def safe_error_message(text: Column, limit: int = 300) -> Column:
 
 
 def normalise_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[\\s　]+", " "))
+    return strip(F.regexp_replace(F.lower(text), "[\\s　]+", " "))
 
 
 def compact(text: Column) -> Column:

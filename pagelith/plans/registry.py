@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelith.plans import document_queries, table_queries
+from pagelith.plans import document_queries, table_queries, text_queries
 
-QUERIES: dict = document_queries.QUERIES | table_queries.QUERIES
-ORACLES: dict = document_queries.ORACLES | table_queries.ORACLES
+QUERIES: dict = document_queries.QUERIES | table_queries.QUERIES | text_queries.QUERIES
+ORACLES: dict = document_queries.ORACLES | table_queries.ORACLES | text_queries.ORACLES
