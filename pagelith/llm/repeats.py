@@ -8,8 +8,10 @@
    left of the anchor are sorted by the operator's own method. Windows are equal
    if they share an offset from the anchor, a right prefix and a left prefix long
    enough, which the sorted order and its prefix lengths tell; the first by
-   (doc_id, tie, position) is the original. Documents' own first occurrences only
-   are sent on from a block, so a group of copies shrinks before it is shuffled.
+   (doc_id, row, position) is the original. Only windows that the block does not
+   remove are sent on, so a group of copies shrinks before it is shuffled. A hash
+   that many blocks hold is common: its contexts are sorted in salted groups first,
+   whose survivors alone meet in one group.
 3. Ranges of removed windows go back to their documents.
 
 Whole copies of a document are found by key first, and count as its windows.
@@ -33,6 +35,10 @@ from pagelith.llm.common import row_keys
 BLOCK = 4_000_000
 ANCHOR = np.dtype([("hash", "<u8"), ("key", "<i8"), ("pos", "<u4")])
 MET = 1  # the hash was met twice already within a block of documents
+#: A hash that so many blocks hold, or that a block repeats, is common.
+MANY_BLOCKS = 1024
+COMMON = np.uint32(1 << 31)  # set on positions of common hashes
+SALTS = 64
 
 
 @dataclass
@@ -42,7 +48,8 @@ class Kind:
     symbols(list of texts) -> (uint64 values end to end, ends, cut), where
     cut(first, last) are the bytes of symbols first..last-1.
     order(group, contexts, shared) -> order, prefix lengths in symbols.
-    encode: contexts as comparable bytes, width bytes a symbol; None if they are that already.
+    encoder: contexts as comparable bytes, width bytes a symbol; None if they are that already.
+    part(context, i, j): its symbols i..j-1.
     """
 
     length: int
@@ -52,6 +59,7 @@ class Kind:
     encoder: Callable | None
     width: int
     same_document: bool
+    part: Callable
 
 
 def _blocks(rows: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict[str, list]]:
@@ -111,7 +119,7 @@ def _anchor_blocks(kind: Kind, buckets: int):
                 key.append(int(mine["key"][x]))
                 bucket.append(key[-1] % buckets)
                 whole.append(True)
-                blob.append(mine["pos"][x:y].tobytes())
+                blob.append((mine["pos"][x:y] | COMMON).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket, pa.int32()), pa.array(key, pa.int64()), pa.array(blob, pa.binary()), pa.array(whole, pa.bool_())], ["bucket", "k1", "blob", "whole"]
             )
@@ -139,7 +147,12 @@ def _met_twice(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     twice = np.zeros(len(h), bool)
     twice[1:] |= same
     twice[:-1] |= same
-    found = all_[order[twice & (flag[order] == 0)]]
+    head = np.flatnonzero(np.concatenate([[True], ~same]))
+    size = np.diff(np.append(head, len(h)))
+    common = np.repeat((np.maximum.reduceat(flag[order], head) == MET) | (size > MANY_BLOCKS), size)
+    at = np.flatnonzero(twice & (flag[order] == 0))
+    found = all_[order[at]]
+    found["pos"] |= np.where(common[at], COMMON, np.uint32(0))
     # a representative of a hash that its own block repeats was sent on by that block
     found = found[np.argsort(found["key"], kind="stable")]
     if not len(found):
@@ -206,8 +219,8 @@ def _rank(doc: np.ndarray, key: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return rank
 
 
-CONTEXTS = "hash long, doc_id long, k1 long, pos long, lo int, hi int, seg binary, removed binary"
-_CONTEXT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+CONTEXTS = "hash long, salt int, doc_id long, k1 long, pos long, lo int, hi int, seg binary, removed binary"
+_CONTEXT_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 _CONTEXT_NAMES = [c.split()[0] for c in CONTEXTS.split(", ")]
 
 
@@ -234,17 +247,21 @@ def _contexts(kind: Kind):
         for block in _blocks(rows, ("text", "doc_id", "k1", "blobs")):
             values, ends, cut = kind.symbols(block["text"])
             starts = np.concatenate([[0], ends[:-1]])
-            wanted = [np.unique(np.frombuffer(b"".join(x), "<u4")).astype(np.int64) + s for x, s in zip(block["blobs"], starts.tolist())]
+            wanted = [np.unique(np.frombuffer(b"".join(x), "<u4")) for x in block["blobs"]]
+            place = np.concatenate([(x & ~COMMON).astype(np.int64) + s for x, s in zip(wanted, starts.tolist())])
+            often = np.concatenate([(x & COMMON) > 0 for x in wanted])
             doc, at, lo, hi, h = A.find(values, ends, kind.length, kind.k)
-            keep = np.isin(at, np.concatenate(wanted)) if wanted else np.zeros(0, bool)
+            keep = np.isin(at, place)
             doc, at, lo, hi, h = doc[keep], at[keep], lo[keep], hi[keep], h[keep]
+            common = np.isin(at, place[often])
             if not len(doc):
                 continue
             by = np.argsort(h, kind="stable")
-            doc, at, lo, hi, h = doc[by], at[by], lo[by], hi[by], h[by]
+            doc, at, lo, hi, h, common = doc[by], at[by], lo[by], hi[by], h[by], common[by]
             seg = [cut(a, b) for a, b in zip((at - hi).tolist(), (at - lo + kind.length).tolist())]
             ids = np.array([-(2**63) if x is None else x for x in block["doc_id"]], np.int64)[doc]
             keys, pos = np.array(block["k1"], np.int64)[doc], at - starts[doc]
+            salt = np.where(common, keys % SALTS, -1)
             new = np.concatenate([[True], h[1:] != h[:-1]])
             group = np.cumsum(new)
             lone = new & np.append(new[1:], True)
@@ -257,37 +274,57 @@ def _contexts(kind: Kind):
                 stay[many] &= ~gone
                 k, blobs = _removed_rows(keys[many], pos[many], gone)
                 n = len(k)
-                yield _out([k, [0] * n, k, [0] * n, [0] * n, [0] * n, [None] * n, blobs])
+                yield _out([k, [-1] * n, [0] * n, k, [0] * n, [0] * n, [0] * n, [None] * n, blobs])
             row, p, q = _ranges(stay)
             for x in range(0, len(row), 20_000):
                 r, a, b = row[x : x + 20_000], p[x : x + 20_000], q[x : x + 20_000]
                 part = [cut(i, j) for i, j in zip((at[r] - b).tolist(), (at[r] - a + kind.length).tolist())]
-                yield _out([h[r].view(np.int64), ids[r], keys[r], pos[r], a, b, part, [None] * len(r)])
+                yield _out([h[r].view(np.int64), salt[r], ids[r], keys[r], pos[r], a, b, part, [None] * len(r)])
 
     return run
 
 
-def _decide(kind: Kind, flush: int = 64 << 20):
-    """Contexts sorted by hash -> removed window starts, whole groups of a hash at a time."""
+def _settle(kind: Kind, final: bool, flush: int = 64 << 20):
+    """Contexts sorted by hash -> removed window starts, whole groups at a time.
+
+    Not final: a group is a hash and salt; what a salted group does not remove is sent
+    on. Rows that tell of removed windows pass through.
+    """
 
     def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
-        h, ids, keys, pos, lo, hi = (t.column(c).to_numpy() for c in ("hash", "doc_id", "k1", "pos", "lo", "hi"))
-        new = np.concatenate([[True], h[1:] != h[:-1]])
+        h, salt, ids, keys, pos, lo, hi = (t.column(c).to_numpy() for c in ("hash", "salt", "doc_id", "k1", "pos", "lo", "hi"))
+        lo, hi = lo.astype(np.int64), hi.astype(np.int64)
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | ((salt[1:] != salt[:-1]) & (not final))])
+        stay = np.zeros((len(h), 0), bool)
         many = np.flatnonzero(~(new & np.append(new[1:], True)))
+        offset = np.arange(kind.length - kind.k + 1)
+        if not final:
+            stay = (lo[:, None] <= offset) & (offset <= hi[:, None]) & (salt >= 0)[:, None]
         if len(many):
             seg = t.column("seg").take(pa.array(many)).to_pylist()
             rank = _rank(ids[many], keys[many], pos[many])
-            gone = _removed(np.cumsum(new)[many], seg, lo[many].astype(np.int64), hi[many].astype(np.int64), ids[many], rank, kind)
+            gone = _removed(np.cumsum(new)[many], seg, lo[many], hi[many], ids[many], rank, kind)
             k, blobs = _removed_rows(keys[many], pos[many], gone)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(blobs, pa.binary())], ["k1", "removed"])
+            n = len(k)
+            yield _out([k, [-1] * n, [0] * n, k, [0] * n, [0] * n, [0] * n, [None] * n, blobs])
+            if not final:
+                stay[many] &= ~gone
+        row, p, q = _ranges(stay) if not final else (np.zeros(0, np.int64),) * 3
+        for x in range(0, len(row), 20_000):
+            r, a, b = row[x : x + 20_000], p[x : x + 20_000], q[x : x + 20_000]
+            seg = t.column("seg").take(pa.array(r)).to_pylist()
+            part = [
+                s if i == 0 and j == u - l + kind.length else kind.part(s, i, j)
+                for s, i, j, l, u in zip(seg, (hi[r] - b).tolist(), (hi[r] - a + kind.length).tolist(), lo[r].tolist(), hi[r].tolist())
+            ]
+            yield _out([h[r], salt[r], ids[r], keys[r], pos[r], a, b, part, [None] * len(r)])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
         for b in rows:
-            done = b.filter(pc.is_valid(b.column("removed")))
-            yield pa.RecordBatch.from_arrays([done.column("k1"), done.column("removed")], ["k1", "removed"])
+            yield b.filter(pc.is_valid(b.column("removed")))
             b = b.filter(pc.is_null(b.column("removed")))
             if not b.num_rows:
                 continue
@@ -320,7 +357,8 @@ def remove(docs: DataFrame, kind: Kind, finish: Callable, schema: str, buckets:
     met = blocks.repartition(buckets, "bucket").select("k1", "blob", "whole").mapInArrow(_met_twice, "k1 long, blob binary")
     wanted = met.groupBy("k1").agg(F.collect_list("blob").alias("blobs"))
     contexts = keyed.join(wanted, "k1").select("text", "k1", "doc_id", "blobs").mapInArrow(_contexts(kind), CONTEXTS)
-    decided = contexts.repartition(buckets, "hash").sortWithinPartitions("hash").mapInArrow(_decide(kind), "k1 long, removed binary")
+    combined = contexts.repartition(buckets, "hash", "salt").sortWithinPartitions("hash", "salt").mapInArrow(_settle(kind, False), CONTEXTS)
+    decided = combined.repartition(buckets, "hash").sortWithinPartitions("hash").mapInArrow(_settle(kind, True), CONTEXTS)
     gone = decided.groupBy("k1").agg(F.collect_list("removed").alias("removed"))
     copies = originals.join(gone, "k1", "left")
     all_ = keyed.join(copies, "k1", "left").select("text", "k1", "doc_id", F.isnull("original").alias("copy"), "removed")

@@ -61,7 +61,7 @@ def tree_order(group: np.ndarray, texts: list[bytes], shared: int):
 
 
 def kind(length: int = LENGTH, gram: int = GRAM) -> Kind:
-    return Kind(length, min(gram, length), word_symbols, tree_order, intern, 4, False)
+    return Kind(length, min(gram, length), word_symbols, tree_order, intern, 4, False, lambda s, i, j: b" ".join(s.split(b" ")[i:j]))
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"

@@ -32,7 +32,7 @@ def byte_symbols(texts: list[str]):
 
 
 def kind(length: int = LENGTH, gram: int = GRAM) -> Kind:
-    return Kind(length, min(gram, length), byte_symbols, ordering.deep_shallow, None, 1, True)
+    return Kind(length, min(gram, length), byte_symbols, ordering.deep_shallow, None, 1, True, lambda s, i, j: s[i:j])
 
 
 def spans(pairs: np.ndarray, length: int) -> list[tuple[int, int]]:
