@@ -199,3 +199,33 @@ def can_enter_reader(required, validated, failed, *flags: Column) -> Column:
 def secrets(rows: DataFrame, text: str) -> DataFrame:
     """Rows that must not be exported; an export is allowed if there is none."""
     return rows.where(F.col(text).rlike(r"sk-[A-Za-z0-9_-]{8,}|(?i)bearer\s+[A-Za-z0-9._-]{8,}|(?i)(api[_-]?key|password|secret)\s*[:=]\s*\S+"))
+
+
+PACKAGE_SCHEMA = "project.v1"
+
+
+def packages(tables: dict[str, DataFrame], key: str = "project") -> DataFrame:
+    """One JSON text per project, made of each table's sorted rows, with its checksum."""
+    from pagelith.functions.hashing import fnv1a_rounded
+
+    out = None
+    for name, df in tables.items():
+        rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.to_json(F.struct(*(c for c in df.columns if c != key))))).alias(name))
+        out = rows if out is None else out.join(rows, key, "full_outer")
+    body = F.concat(
+        F.lit(f'{{"schema":"{PACKAGE_SCHEMA}"'),
+        *(F.concat(F.lit(f',"{n}":['), F.array_join(F.coalesce(F.col(n), F.array().cast("array<string>")), ","), F.lit("]")) for n in tables), F.lit("}"),
+    )
+    return out.select(key, body.alias("payload")).withColumn("checksum", fnv1a_rounded(F.col("payload")))
+
+
+def package_errors(rows: DataFrame) -> DataFrame:
+    """Packages whose schema or checksum is wrong, or that hold a secret."""
+    from pagelith.functions.hashing import fnv1a_rounded
+
+    secret = F.col("payload").rlike(r"(?i)\"(?:apikey|authorization|reasoning_content)\"|(?:^|[^A-Za-z0-9])sk-[A-Za-z0-9_-]+|\bAuthorization\b")
+    errors = F.array_compact(F.array(
+        F.when(F.coalesce(F.get_json_object("payload", "$.schema"), F.lit("")) != PACKAGE_SCHEMA, F.lit("schema")),
+        F.when(fnv1a_rounded(F.col("payload")) != F.col("checksum"), F.lit("checksum")), F.when(secret, F.lit("secret")),
+    ))
+    return rows.withColumn("errors", errors).where(F.size("errors") > 0)

@@ -9,9 +9,10 @@ from pagelith.functions import hashing as H
 from pagelith.functions import prose as P
 from pagelith.functions.text import strip
 from pagelith.operators import page_plans as PP
+from pagelith.operators import rewrites, work
 from pagelith.plans import fixtures as V
 from pagelith.plans.fixtures import with_views
-from pagelith.sources import table
+from pagelith.sources import runs, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -243,3 +244,55 @@ def page_plan_keys(spark, d):
     m, p, r = F.lit("m 1"), F.lit("p1"), F.lit("r1")
     none = F.lit(None).cast("string")
     return table(spark, d, "orders").select("o_orderkey", H.plan_key("accepted-page-plan", h, page, m, p, r, k % 3, base, none).alias("plan_key"), H.layout_key(h, page, m, p, r).alias("layout_key"))
+
+
+@query("""WITH m AS (SELECT l_orderkey AS doc_id, l_linenumber AS item_no, l_quantity AS q, l_tax AS s, l_discount AS w, CASE WHEN l_linenumber % 5 = 0 THEN 1.0 ELSE 0.0 END AS r FROM lineitem)
+    SELECT doc_id, item_no, (1.5 * (10 + q))::DOUBLE AS x, (-1.5 * (20 + q) + 1188.0 - greatest(sqrt(pow(1.5 * r, 2) + pow(1.5 * (9 + s), 2)), 0.0))::DOUBLE AS y, (100 * w * 1.5)::DOUBLE AS w, greatest(sqrt(pow(1.5 * r, 2) + pow(1.5 * (9 + s), 2)), 0.0)::DOUBLE AS h, r > 0 AS rotated FROM m""")
+def run_placement(spark, d):
+    i = table(spark, d, "lineitem")
+    r = F.when(F.col("l_linenumber") % 5 == 0, 1.0).otherwise(0.0)
+    m = F.array(9 + F.col("l_tax"), r, r, 9 + F.col("l_tax"), 10 + F.col("l_quantity"), 20 + F.col("l_quantity"))
+    items = i.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.col("l_linenumber").alias("item_no"), F.lit("x").alias("str"), m.alias("matrix"), (100 * F.col("l_discount")).alias("width"), F.lit(0.0).alias("height"))
+    view = F.array(*map(F.lit, (1.5, 0.0, 0.0, -1.5, 0.0, 1188.0)))
+    return runs.placed(items, view).select("doc_id", "item_no", "x", "y", "w", "h", "rotated")
+
+
+def _items(spark, d) -> DataFrame:
+    b = V.blocks(spark, d).where("line_no < 12")
+    return b.select("doc_id", "page", F.lit(0).alias("line_no"), F.col("ord").alias("item_no"), F.substring("text", 1, 16).alias("str"), "x", F.lit(40.0).alias("y"), F.lit(64.0).alias("w"), "h")
+
+
+@query(with_views("blocks", body="""SELECT doc_id, source::BIGINT AS source, substr(s, k + 1, 1) AS ch, x + k * (64.0 / length(s)) AS x FROM (SELECT *, unnest(range(length(s))) AS k, o + unnest(range(length(s))) AS source FROM (
+    SELECT doc_id, ord, x, substr(text, 1, 16) AS s, coalesce(sum(length(substr(text, 1, 16)) + 1) OVER (PARTITION BY doc_id, page ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM blocks WHERE line_no < 12))"""))
+def glyph_boxes(spark, d):
+    return runs.glyphs(_items(spark, d)).select("doc_id", F.col("source").cast("long").alias("source"), "ch", "x")
+
+
+@query()
+def range_boxes(spark, d):
+    g = runs.glyphs(_items(spark, d)).where("page = 0")
+    ranges = g.select("doc_id").distinct().withColumn("range_id", F.lit(0).cast("long")).withColumn("first", F.lit(5)).withColumn("last", F.lit(60))
+    return runs.range_boxes(g.select("doc_id", "source", "x", "y", "w", "h"), ranges)
+
+
+@query()
+def line_repairs(spark, d):
+    t = F.col("text")
+    p = paragraphs(spark, d)
+    return p.select(
+        "doc_id", "grp", rewrites.column(rewrites.without_math_lines)(t).alias("prose"), rewrites.column(rewrites.math_before_prose, "boolean")(t).alias("scattered"),
+        rewrites.column(rewrites.join_subscripts)(t).alias("subscripts"), rewrites.column(rewrites.without_trailing_formula)(t).alias("untailed"),
+        P.without_boilerplate(t).alias("plain"), P.without_punctuation_rows(t).alias("rows"),
+    )
+
+
+@query()
+def heading_parts(spark, d):
+    h = V.blocks(spark, d).where("type = 'section'").withColumn("joined", F.concat("text", F.lit(" 3.1 More Work")))
+    return rewrites.headings(h, "block_id", "joined")
+
+
+@query()
+def project_packages(spark, d):
+    a = V.artifacts(spark, d)
+    return work.packages({"artifacts": a.select(F.col("project_id").alias("project"), "key", "kind")})
