@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagelith import streaming
 from pagelith.functions import text as T
-from pagelith.operators import alignment, gates, graphs, reader, rects, sequential, work
+from pagelith.operators import alignment, assets, gates, graphs, reader, rects, sequential, work
 from pagelith.plans import fixtures as V
 from pagelith.plans.fixtures import with_views
 from pagelith.sources import table
@@ -308,3 +308,65 @@ def paginate(spark, d):
 @query()
 def region_merge(spark, d):
     return sequential.merge_regions(V.rects(spark, d))
+
+
+def _assets(spark, d):
+    r = V.rects(spark, d).where("page % 3 = 0").withColumn("doc_id", F.col("page"))
+    kind = F.get(F.array(*map(F.lit, ["figure", "table", "formula", "code"])), (F.col("id") % 4).cast("int"))
+    box = [F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")]
+    caption = F.when(F.col("id") % 3 == 1, F.concat(F.lit("c"), F.col("id").cast("string")))
+    regions = r.select("doc_id", "page", "id", kind.alias("kind"), *box, caption.alias("caption_id"))
+    captions = r.where("id % 3 = 1").select("doc_id", "page", F.concat(F.lit("c"), F.col("id").cast("string")).alias("caption_id"), kind.alias("kind"), F.concat(F.lit("figure:"), F.col("id").cast("string")).alias("identity"),
+                                            F.col("x").cast("double").alias("x"), (F.col("y") + F.when(F.col("id") % 2 == 0, 20).otherwise(32)).cast("double").alias("y"), F.col("w").cast("double").alias("w"), F.lit(10.0).alias("h"))
+    return regions, captions
+
+
+_AS = """rg AS (SELECT page, id, ['figure', 'table', 'formula', 'code'][id % 4 + 1] AS kind, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, h::DOUBLE AS h, CASE WHEN id % 3 = 1 THEN 'c' || id END AS caption_id FROM rects WHERE page % 3 = 0),
+    cp AS (SELECT page, 'c' || id AS caption_id, ['figure', 'table', 'formula', 'code'][id % 4 + 1] AS kind, x::DOUBLE AS x, (y + CASE WHEN id % 2 = 0 THEN 20 ELSE 32 END)::DOUBLE AS y, w::DOUBLE AS w, 10.0::DOUBLE AS h FROM rects WHERE page % 3 = 0 AND id % 3 = 1)"""
+
+
+@query(with_views("rects", body=f""", {_AS} SELECT page, id, y1 AS y, e1 - y1 AS h FROM (SELECT page, id, CASE WHEN kind IN ('table', 'code') AND above IS NOT NULL THEN least(y + h, above + 2) ELSE y END AS y1,
+    CASE WHEN kind = 'figure' AND below IS NOT NULL THEN greatest(y, below - 2) ELSE y + h END AS e1 FROM rg LEFT JOIN (SELECT a.page, a.id, min(CASE WHEN b.y + b.h / 2 >= a.y + a.h / 2 THEN b.y END) AS below,
+    max(CASE WHEN b.y + b.h / 2 <= a.y + a.h / 2 THEN b.y + b.h END) AS above FROM rg a JOIN cp b ON a.page = b.page AND {_OVER} > 0 GROUP BY a.page, a.id) USING (page, id))"""))
+def crop_without_captions(spark, d):
+    return assets.without_captions(*_assets(spark, d)).select("page", "id", "y", "h")
+
+
+@query(with_views("rects", body=f", {_AS} SELECT page, id FROM rg a WHERE kind <> 'formula' OR NOT EXISTS (SELECT 1 FROM rg b WHERE b.page = a.page AND b.kind <> 'formula' AND ({_OVER}) / greatest(1, a.w * a.h) >= 0.75)"))
+def nested_formulas(spark, d):
+    return assets.without_nested_formulas(_assets(spark, d)[0]).select("page", "id")
+
+
+@query(with_views("rects", body=f""", {_AS} SELECT page, id, array_to_string(list_filter([CASE WHEN x < 0 OR y <= 0 OR x + w > 300 OR y + h > 120 THEN 'page-edge-touch' END, CASE WHEN w <= 0 OR h <= 0 OR (large AND NOT anch) OR part > 0.9 OR h / 120 > 0.94 THEN 'page-coverage-excessive' END,
+    CASE WHEN large AND frn THEN 'foreign-caption-overlap' END, CASE WHEN ov > 0 THEN 'caption-overlap' END], lambda v: v IS NOT NULL), ',') AS issues FROM (SELECT *, part > 0.5 OR h / 120 > 0.78 AS large FROM (
+    SELECT a.page, a.id, a.x, a.y, a.w, a.h, a.w * a.h / 36000.0 AS part, CASE WHEN b.x IS NULL THEN 0 ELSE {_OVER} END AS ov, coalesce(a.kind <> 'formula' AND b.x >= 0 AND b.y >= 0 AND b.x + b.w <= 300 AND b.y + b.h <= 120 AND ({_OVER}) = 0 AND greatest(b.y - a.y - a.h, a.y - b.y - b.h, 0) <= 48
+      AND least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x), false) AS anch, EXISTS (SELECT 1 FROM cp f WHERE f.page = a.page AND f.caption_id IS DISTINCT FROM a.caption_id AND {_OVER.replace('b.', 'f.')} > 0) AS frn
+    FROM rg a LEFT JOIN cp b ON b.page = a.page AND b.caption_id = a.caption_id))"""))
+def geometry_gate(spark, d):
+    return assets.geometry_gate(*_assets(spark, d), 300.0, 120.0).select("page", "id", F.array_join("issues", ",").alias("issues"))
+
+
+@query(with_views("rects", body=f""", {_AS} SELECT page, id, caption_id, 3::BIGINT AS tier FROM (SELECT *, row_number() OVER (PARTITION BY page, id ORDER BY abs(gap), caption_id) AS r FROM (SELECT a.page, a.id, b.caption_id,
+    CASE WHEN a.kind = 'figure' THEN b.y - a.y - a.h ELSE a.y - b.y - b.h END AS gap FROM rg a JOIN cp b ON a.page = b.page AND a.kind = b.kind AND a.kind <> 'formula' AND greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) / greatest(1, least(a.w, b.w)) >= 0.2) WHERE gap BETWEEN -20 AND 80) WHERE r = 1"""))
+def caption_links(spark, d):
+    regions, captions = _assets(spark, d)
+    none = F.lit(None).cast("double")
+    r = regions.withColumn("label", F.lit("no label")).withColumns({f"c{c}": none for c in ("x", "y", "w", "h")})
+    return assets.link_captions(r, captions).select("page", "id", "caption_id", F.col("tier").cast("long").alias("tier"))
+
+
+@query(with_views("rects", body=f""", {_AS} SELECT page, id, greatest(0.0, x - s) AS x, greatest(0.0, y - t) AS y, least(300.0, x + w + s) - greatest(0.0, x - s) AS w, least(120.0, y + h + b) - greatest(0.0, y - t) AS h FROM (
+    SELECT *, CASE kind WHEN 'table' THEN 4 ELSE 5 END AS s, CASE kind WHEN 'table' THEN 12 ELSE 4 END AS t, CASE kind WHEN 'table' THEN 6.0 ELSE least(16.0, greatest(6.0, h * 0.18)) END AS b FROM rg WHERE kind IN ('table', 'formula'))"""))
+def padded_crops(spark, d):
+    return assets.padded(_assets(spark, d)[0].where("kind IN ('table', 'formula')"), 300.0, 120.0).select("page", "id", "x", "y", "w", "h")
+
+
+@query()
+def region_dedup(spark, d):
+    return assets.deduplicated(_assets(spark, d)[0])
+
+
+@query()
+def raster_bounds(spark, d):
+    regions, _ = _assets(spark, d)
+    return assets.exact_bounds(regions, regions.where("id % 2 = 1"))
