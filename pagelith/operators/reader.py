@@ -75,3 +75,18 @@ def reader_units(units: DataFrame, blocks: DataFrame) -> DataFrame:
     kept = units.join(blocks.select("doc_id", "block_id").distinct(), ["doc_id", "block_id"], "left_semi")
     n = kept.groupBy("doc_id", "unit_id").agg(F.count(F.lit(1)).alias("n_blocks"))
     return units.select("doc_id", "unit_id").distinct().join(n, ["doc_id", "unit_id"], "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
+
+
+def unit_index(units: DataFrame) -> DataFrame:
+    """units(doc_id, unit, source_ids, target_ids) -> (doc_id, side, block_id, unit); of units that share a block the last."""
+    one = lambda side: units.select("doc_id", "unit", F.lit(side).alias("side"), F.explode(f"{side}_ids").alias("block_id"))
+    return one("source").unionByName(one("target")).groupBy("doc_id", "side", "block_id").agg(F.max("unit").alias("unit"))
+
+
+def sync_commands(probes: DataFrame, source: DataFrame, target: DataFrame, units: DataFrame, viewport: float) -> DataFrame:
+    """probes(doc_id, probe, at) on the source side -> the block there, its unit, and the scroll position that centres the unit's first target block."""
+    at = locate(source, probes).join(unit_index(units).where("side = 'source'").drop("side"), ["doc_id", "block_id"])
+    first = units.where(F.size("target_ids") > 0).select("doc_id", "unit", F.get("target_ids", F.lit(0)).alias("target_id"))
+    goal = target.select("doc_id", F.col("block_id").alias("target_id"), ((F.col("top") + F.col("bottom")) / 2).alias("centre"))
+    out = at.join(first, ["doc_id", "unit"]).join(goal, ["doc_id", "target_id"])
+    return out.select("doc_id", "probe", "block_id", "unit", "target_id", F.greatest(F.lit(0.0), F.col("centre") - viewport / 2).alias("scroll"))
