@@ -32,7 +32,7 @@ from pagelith.llm import anchors as A
 from pagelith.llm.common import row_keys
 
 #: Symbols of a block of documents that is handled at once; a longer document is a block of its own.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 ANCHOR = np.dtype([("hash", "<u8"), ("key", "<i8"), ("pos", "<u4")])
 MET = 1  # the hash was met twice already within a block of documents
 #: A hash that so many blocks hold, or that a block repeats, is common.
@@ -166,17 +166,17 @@ def _met_twice(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _removed(group: np.ndarray, seg: list[bytes], lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, rank: np.ndarray, kind: Kind) -> np.ndarray:
-    """Contexts x offsets: is the window that begins so far before the anchor removed?
+def _removed(group: np.ndarray, seg: list[bytes], lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, key: np.ndarray, rank: np.ndarray, kind: Kind):
+    """Contexts x offsets: is the window that begins so far before the anchor removed, and does its row hold it before?
 
-    group is sorted; rank orders contexts by (doc_id, row, position).
+    group is sorted; rank orders contexts by (doc_id, row key, position).
     """
     n, length, width = len(seg), kind.length, kind.width
     data = kind.encoder(seg) if kind.encoder else seg
     right = [t[h * width :] for t, h in zip(data, hi.tolist())]
     left = [np.frombuffer(t, f"u{width}", h)[::-1].tobytes() for t, h in zip(data, hi.tolist())]
     offsets = length - kind.k + 1
-    removed = np.zeros((n, offsets), bool)
+    removed, again = np.zeros((n, offsets), bool), np.zeros((n, offsets), bool)
     order_r, lcp_r = kind.order(group, right, kind.k)
     order_l, lcp_l = kind.order(group, left, 0)
     g_r, g_l = group[order_r], group[order_l]
@@ -190,14 +190,15 @@ def _removed(group: np.ndarray, seg: list[bytes], lo: np.ndarray, hi: np.ndarray
         # a class of right contexts shares length - o symbols; of left contexts, o symbols
         class_r[order_r] = np.cumsum(edge_r | (lcp_r < length - o))
         class_l[order_l] = np.cumsum(edge_l | (lcp_l < o))
-        key = class_r[valid] * (n + 1) + class_l[valid]
-        by = np.lexsort((rank[valid], key))
-        k = key[by]
+        both = class_r[valid] * (n + 1) + class_l[valid]
+        by = np.lexsort((rank[valid], both))
+        k = both[by]
         head = np.concatenate([[True], k[1:] != k[:-1]])
         least = valid[by[np.flatnonzero(head)[np.cumsum(head) - 1]]]
         mine = valid[by]
         removed[mine, o] = rank[least] < rank[mine] if kind.same_document else doc[least] < doc[mine]
-    return removed
+        again[mine[1:], o] = ~head[1:] & (key[mine[1:]] == key[mine[:-1]])
+    return removed, again
 
 
 def _ranges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,8 +271,8 @@ def _contexts(kind: Kind):
             stay = (lo[:, None] <= offset) & (offset <= hi[:, None])
             if len(many):
                 rank = _rank(ids[many], keys[many], pos[many])
-                gone = _removed(group[many], [seg[i] for i in many.tolist()], lo[many], hi[many], ids[many], rank, kind)
-                stay[many] &= ~gone
+                gone, again = _removed(group[many], [seg[i] for i in many.tolist()], lo[many], hi[many], ids[many], keys[many], rank, kind)
+                stay[many] &= ~(gone | again)  # what befalls a row's first copy of a window befalls the others
                 k, blobs = _removed_rows(keys[many], pos[many], gone)
                 n = len(k)
                 yield _out([k, [-1] * n, [0] * n, k, [0] * n, [0] * n, [0] * n, [None] * n, blobs])
@@ -284,7 +285,7 @@ def _contexts(kind: Kind):
     return run
 
 
-def _settle(kind: Kind, final: bool, flush: int = 64 << 20):
+def _settle(kind: Kind, final: bool, flush: int = 24 << 20):
     """Contexts sorted by hash -> removed window starts, whole groups at a time.
 
     Not final: a group is a hash and salt; what a salted group does not remove is sent
@@ -304,12 +305,12 @@ def _settle(kind: Kind, final: bool, flush: int = 64 << 20):
         if len(many):
             seg = t.column("seg").take(pa.array(many)).to_pylist()
             rank = _rank(ids[many], keys[many], pos[many])
-            gone = _removed(np.cumsum(new)[many], seg, lo[many], hi[many], ids[many], rank, kind)
+            gone, again = _removed(np.cumsum(new)[many], seg, lo[many], hi[many], ids[many], keys[many], rank, kind)
             k, blobs = _removed_rows(keys[many], pos[many], gone)
             n = len(k)
             yield _out([k, [-1] * n, [0] * n, k, [0] * n, [0] * n, [0] * n, [None] * n, blobs])
             if not final:
-                stay[many] &= ~gone
+                stay[many] &= ~(gone | again)
         row, p, q = _ranges(stay) if not final else (np.zeros(0, np.int64),) * 3
         for x in range(0, len(row), 20_000):
             r, a, b = row[x : x + 20_000], p[x : x + 20_000], q[x : x + 20_000]
@@ -345,7 +346,11 @@ def _settle(kind: Kind, final: bool, flush: int = 64 << 20):
 
 
 def remove(docs: DataFrame, kind: Kind, finish: Callable, schema: str, buckets: int | None = None) -> DataFrame:
-    """finish(texts, doc_ids, copies, list of sorted (first, last) arrays) -> columns of the schema."""
+    """finish(texts, doc_ids, copies, list of (first, last) arrays) -> columns of the schema.
+
+    The arrays hold window starts. Of a row's equal windows the first stands for the
+    others, unless the rule is to remove within a document too.
+    """
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = row_keys(docs)

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from pagelith.llm import ordering
+from pagelith.llm.anchors import gram_hashes
 from pagelith.llm.repeats import Kind, remove
 from pagelith.llm.suffix_dedup import spans
 
@@ -32,7 +33,7 @@ def words(text: str | None) -> list[bytes]:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
@@ -64,6 +65,20 @@ def kind(length: int = LENGTH, gram: int = GRAM) -> Kind:
     return Kind(length, min(gram, length), word_symbols, tree_order, intern, 4, False, lambda s, i, j: b" ".join(s.split(b" ")[i:j]))
 
 
+def with_equal_windows(text: str | None, pairs: np.ndarray, length: int) -> np.ndarray:
+    """The (first, last) window starts of pairs, and of the document's windows equal to one of those."""
+    if not len(pairs):
+        return pairs
+    values, _, _ = word_symbols([text])
+    hashes = gram_hashes(values, length)
+    gone = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(gone, pairs[:, 0], 1)
+    np.add.at(gone, pairs[:, 1] + 1, -1)
+    gone = np.isin(hashes, hashes[np.cumsum(gone)[:-1] > 0])
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    return np.stack([edges[::2], edges[1::2] - 1], 1)
+
+
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
@@ -79,7 +94,7 @@ def dedup_word_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
         n_words, n_removed, digests, kept_texts = [], [], [], []
         for text, copy, p in zip(texts, copies, pairs):
             ws = words(text)
-            found = ([(0, len(ws))] if len(ws) >= length else []) if copy else spans(p, length)
+            found = ([(0, len(ws))] if len(ws) >= length else []) if copy else spans(with_equal_windows(text, p, length), length)
             kept, at = [], 0
             for a, b in found:
                 kept += ws[at:a]
