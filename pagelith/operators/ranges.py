@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pagelith.operators.grouped import grouped
 from pagelith.operators.sequential import find_range, squeeze
 
 WORD = re.compile(r"\w+")
@@ -124,3 +128,23 @@ def locate(text: str, part: str, cursor: int = 0) -> tuple[list[tuple[int, int]]
     if near := near_words(text, part, cursor):
         return [near[0]], near[1]
     return [], 0.0
+
+
+PLACED = "doc_id long, pos long, first long, last long, pieces long, confidence double"
+
+
+def place_parts(parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """parts(doc_id, pos, part) found one after another in texts(doc_id, text), with a cursor that moves on."""
+    listed = F.sort_array(F.collect_list(F.struct("pos", "part")))
+    rows = parts.groupBy("doc_id").agg(listed.alias("parts")).join(texts.select("doc_id", "text"), "doc_id")
+
+    def run(rows: list[dict]) -> list[tuple]:
+        cursor, out = 0, []
+        for p in rows[0]["parts"]:
+            found, sure = locate(rows[0]["text"], p["part"], cursor)
+            first, last = (found[0][0], found[-1][1]) if found else (-1, -1)
+            cursor = max(cursor, last)
+            out.append((rows[0]["doc_id"], p["pos"], first, last, len(found), sure))
+        return out
+
+    return grouped(rows, ["doc_id"], [], run, PLACED)

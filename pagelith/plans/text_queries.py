@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from pagelith.functions import hashing as H
 from pagelith.functions import prose as P
+from pagelith.functions import text as T
 from pagelith.functions.text import strip
 from pagelith.operators import page_plans as PP
-from pagelith.operators import rewrites, work
+from pagelith.operators import graphs, ranges, rewrites, store, work
 from pagelith.plans import fixtures as V
 from pagelith.plans.fixtures import with_views
 from pagelith.sources import runs, table
@@ -296,3 +297,45 @@ def heading_parts(spark, d):
 def project_packages(spark, d):
     a = V.artifacts(spark, d)
     return work.packages({"artifacts": a.select(F.col("project_id").alias("project"), "key", "kind")})
+
+
+@query()
+def approximate_places(spark, d):
+    """Sentences with a word left out, found again in their documents."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.substring("text", 1, 4000).alias("text"))
+    s = docs.select("doc_id", F.posexplode(F.slice(T.sentences(F.col("text")), 1, 6)).alias("pos", "part"))
+    gap = F.regexp_replace("part", r"^(\S+ \S+ \S+ )\S+ ", "$1")
+    return ranges.place_parts(s.where(F.length("part") > 30).withColumn("part", F.when(F.col("pos") % 2 == 0, gap).otherwise(F.col("part"))), docs)
+
+
+def _crossing(spark, d) -> DataFrame:
+    r = V.rects(spark, d)
+    kind = F.get(F.array(*map(F.lit, ["figure", "table", "code"])), (F.col("id") % 3).cast("int"))
+    hint = F.get(F.array(*map(F.lit, ["", "starts", "ends", "none", ""])), ((F.col("x") / 10) % 5).cast("int"))
+    return r.select(
+        (F.col("page") % 97).alias("doc_id"), F.floor(F.col("page") / 97).alias("page"), (F.col("page") * 10 + F.col("id")).cast("string").alias("id"), kind.alias("type"), F.col("x").cast("double").alias("x"),
+        (F.col("y") * 10).cast("double").alias("y"), F.col("w").cast("double").alias("w"), F.lit(30.0).alias("h"), F.when(F.col("x") < 250, "left").otherwise("right").alias("column"),
+        F.concat(F.lit("Table "), (F.col("x") / 40).cast("int").cast("string")).alias("label"), hint.alias("hint"),
+    )
+
+
+_CR = """r AS (SELECT page % 97 AS doc_id, page // 97 AS page, (page * 10 + id)::VARCHAR AS id, ['figure', 'table', 'code'][id % 3 + 1] AS type, x::DOUBLE AS x, y * 10.0 AS y, w::DOUBLE AS w, CASE WHEN x < 250 THEN 'left' ELSE 'right' END AS col,
+    'table ' || trunc(x / 40)::INT AS label, ['', 'starts', 'ends', 'none', ''][trunc(x / 10)::INT % 5 + 1] AS hint FROM rects),
+    c AS (SELECT t.doc_id, t.type, h.page, t.id AS tail, h.id AS head, abs(h.x - t.x) + abs(h.w - t.w) AS d, 1 + (t.col = h.col)::INT + (abs(h.x - t.x) + abs(h.w - t.w) <= 100)::INT + (t.type = 'table')::INT AS weak,
+    t.hint IN ('starts', 'continues') AND h.hint IN ('continues', 'ends') AS agree FROM r t JOIN r h ON h.doc_id = t.doc_id AND h.type = t.type AND h.page = t.page + 1 WHERE t.y + 30 >= 900 AND h.y <= 120 AND t.label = h.label AND t.hint NOT IN ('none', 'ends') AND h.hint NOT IN ('none', 'starts'))"""
+
+
+@query(with_views("rects", body=f", {_CR} SELECT doc_id, type, page, tail, head, d, weak::BIGINT AS weak, agree, 'same-numbered-caption' AS strong FROM c"))
+def crossing_candidates(spark, d):
+    return graphs.crossing_candidates(_crossing(spark, d)).withColumn("weak", F.col("weak").cast("long"))
+
+
+@query()
+def crossing_links(spark, d):
+    return graphs.crossing_links(graphs.crossing_candidates(_crossing(spark, d)))
+
+
+@query(with_views("blocks", body=r"""SELECT doc_id, block_id, CASE type WHEN 'section' THEN 'paragraph' ELSE 'paragraph' END AS kind, length(trim(text))::BIGINT AS n FROM blocks WHERE type IN ('section', 'paragraph', 'equation') AND trim(text) <> ''"""))
+def translation_requests(spark, d):
+    u = V.blocks(spark, d).select("doc_id", F.col("block_id").alias("unit_id"), F.col("type").alias("kind"), "text", "ord")
+    return store.requests(u).select("doc_id", "block_id", "kind", F.length("source").cast("long").alias("n"))
