@@ -129,3 +129,39 @@ def token_losses(pairs: DataFrame) -> DataFrame:
     count = lambda c, n: pairs.select("doc_id", "block_id", F.explode(T.protected_tokens(F.col(c))).alias("token")).groupBy("doc_id", "block_id", "token").agg(F.count(F.lit(1)).alias(n))
     both = count("source", "required").join(count("target", "received"), ["doc_id", "block_id", "token"], "left")
     return both.withColumn("received", F.coalesce("received", F.lit(0))).where("received < required")
+
+
+#: Issues that moving or scaling cannot mend, and evidence of text out of place (fixed values).
+NOT_REPAIRABLE = ("asset_changed", "asset_missing", "formula_changed", "table_changed", "missing_text", "untranslated_body", "unreadable_glyphs", "review_incomplete")
+OUT_OF_PLACE = r"(?i)(?:scattered text|stray (?:text|punctuation)|author.*body|mixed\s+(?:with|into)\s+(?:the\s+)?body|作者单位.*正文混排|正文混排|散落文本|孤立标点)"
+ALONE, CROWDED = "(?i)orphan|isolated|孤立|单独|页末", "(?i)side.by.side|grid|narrow|crowd|并排|过窄|拥挤"
+ASSET_KINDS = ("figure", "table", "formula", "code")
+
+
+def repair_plan(issues: DataFrame, units: DataFrame, seen: DataFrame) -> DataFrame:
+    """Bounded actions (doc_id, unit_id, action) for blocking issues.
+
+    issues(doc_id, type, evidence, blocking, fingerprint, unit_id), units(doc_id,
+    unit_id, kind), seen(doc_id, fingerprint) of earlier attempts. A document with a
+    blocking issue of content gets no action at all.
+    """
+    b = issues.where("blocking")
+    lost = b.where(F.col("type").isin(*NOT_REPAIRABLE)).select("doc_id").distinct()
+    b = b.join(lost, "doc_id", "left_anti").join(seen, ["doc_id", "fingerprint"], "left_anti")
+    b = b.where(~((F.col("type") == "layout_drift") & F.col("evidence").rlike(OUT_OF_PLACE))).join(units, ["doc_id", "unit_id"])
+    kind, evidence = F.col("kind"), F.col("evidence")
+    asset = kind.isin(*ASSET_KINDS)
+    actions = F.array_compact(F.array(
+        F.when(kind == "heading", F.when(evidence.rlike(ALONE), "page-break").otherwise("heading-spacing")),
+        F.when(asset, F.lit("asset-scale")), F.when(asset & evidence.rlike(CROWDED), F.lit("stack-assets")),
+        F.when((kind != "heading") & ~asset & F.col("type").isin("overlap", "clipped_text", "layout_drift"), F.lit("page-break")),
+    ))
+    return b.select("doc_id", "unit_id", F.explode(actions).alias("action")).distinct()
+
+
+def run_history(runs: DataFrame, most_runs: int = 8, most_attempts: int = 64) -> DataFrame:
+    """Of runs(doc_id, run, attempts array): the last runs, each with its last attempts."""
+    w = Window.partitionBy("doc_id").orderBy(F.col("run").desc())
+    kept = runs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most_runs).drop("r")
+    n = F.least(F.size("attempts"), F.lit(most_attempts))
+    return kept.withColumn("attempts", F.when(n > 0, F.slice("attempts", -n, n)).otherwise(F.col("attempts")))

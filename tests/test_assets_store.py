@@ -79,3 +79,23 @@ def test_sync_commands(spark):
     units = spark.createDataFrame([(1, 0, ["s1", "s2"], ["t1"])], "doc_id long, unit long, source_ids array<string>, target_ids array<string>")
     probes = spark.createDataFrame([(1, 7, 60.0)], "doc_id long, probe long, at double")
     assert [tuple(r) for r in reader.sync_commands(probes, source, target, units, 300.0).collect()] == [(1, 7, "s2", 0, "t1", 300.0)]
+
+
+def test_repair_plan(spark):
+    from pagelith.operators import gates
+
+    issues = spark.createDataFrame(
+        [(1, "overlap", "crowded side by side", True, "f1", "fig"), (1, "layout_drift", "orphan heading", True, "f2", "head"), (1, "overlap", "x", True, "seen", "text"), (1, "overlap", "x", False, "f4", "text"), (2, "overlap", "x", True, "f5", "text"), (2, "missing_text", "x", True, "f6", "text")],
+        "doc_id long, type string, evidence string, blocking boolean, fingerprint string, unit_id string",
+    )
+    units = spark.createDataFrame([(d, u, k) for d in (1, 2) for u, k in (("fig", "figure"), ("head", "heading"), ("text", "paragraph"))], "doc_id long, unit_id string, kind string")
+    seen = spark.createDataFrame([(1, "seen")], "doc_id long, fingerprint string")
+    assert sorted((r.doc_id, r.unit_id, r.action) for r in gates.repair_plan(issues, units, seen).collect()) == [(1, "fig", "asset-scale"), (1, "fig", "stack-assets"), (1, "head", "page-break")]
+
+
+def test_run_history(spark):
+    from pagelith.operators import gates
+
+    runs = spark.createDataFrame([(1, r, list(range(70))) for r in range(10)], "doc_id long, run long, attempts array<int>")
+    got = gates.run_history(runs).collect()
+    assert sorted(r.run for r in got) == list(range(2, 10)) and all(r.attempts == list(range(6, 70)) for r in got)
