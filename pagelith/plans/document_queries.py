@@ -156,10 +156,10 @@ def caption_predicates(spark, d):
     WHEN regexp_matches(t, '(?i)\(\d+[a-z]?\)\s*$') AND m >= 3 THEN true ELSE wds <= 2 AND m >= 5 END AS formula FROM (SELECT *, rel * 2 + ops AS m FROM (
     SELECT block_id, t, len(regexp_extract_all(t, '[A-Za-z]{3,}')) AS wds, len(regexp_extract_all(t, '[=≠≈≤≥<>]')) AS rel, len(regexp_extract_all(t, '[+*/^{}×÷√∑∫]')) AS ops,
     len(regexp_extract_all(t, '(?i)\b(?:the|a|an|and|or|of|to|in|for|with|that|this|is|are|was|were|as|by|from|on|at|if|when|where|whether|we|need)\b')) AS fun
-    FROM (SELECT block_id, trim(regexp_replace('x = 2 * ' || substr(text, 1, 12) || ' (' || line_no || ')', '\s+', ' ', 'g')) AS t FROM blocks WHERE lane = 'full' AND line_no % 2 = 0)))"""))
+    FROM (SELECT block_id, trim(regexp_replace('x = 2 * ' || text || ' (' || line_no || ')', '\s+', ' ', 'g')) AS t FROM blocks)))"""))
 def display_formulas(spark, d):
-    b = V.blocks(spark, d).where("lane = 'full' AND line_no % 2 = 0")
-    made = F.concat(F.lit("x = 2 * "), F.substring("text", 1, 12), F.lit(" ("), F.col("line_no").cast("string"), F.lit(")"))
+    b = V.blocks(spark, d)
+    made = F.concat(F.lit("x = 2 * "), F.col("text"), F.lit(" ("), F.col("line_no").cast("string"), F.lit(")"))
     return b.select("block_id", T.is_display_formula(made).alias("formula"))
 
 
@@ -308,10 +308,10 @@ def marker_symmetric_diff(spark, d):
 
 
 @query(with_views("blocks", "targets", body=r""", f AS (SELECT doc_id, regexp_replace(string_agg(text, chr(10) ORDER BY ord), '[\s\p{P}\p{S}]+', '', 'g') AS a FROM targets GROUP BY doc_id),
-    e AS (SELECT doc_id, regexp_replace(text, '[\s\p{P}\p{S}]+', '', 'g') AS t FROM blocks WHERE ord % 2 = 0) SELECT e.doc_id, count(*)::BIGINT AS expected, (count(*) FILTER (contains(coalesce(a, ''), t)))::BIGINT AS hits,
+    e AS (SELECT doc_id, regexp_replace(text, '[\s\p{P}\p{S}]+', '', 'g') AS t FROM blocks) SELECT e.doc_id, count(*)::BIGINT AS expected, (count(*) FILTER (contains(coalesce(a, ''), t)))::BIGINT AS hits,
     (count(*) FILTER (contains(coalesce(a, ''), t))) / count(*) AS coverage, (count(*) FILTER (contains(coalesce(a, ''), t))) / count(*) >= 0.85 AS pass FROM e LEFT JOIN f USING (doc_id) WHERE length(t) >= 4 GROUP BY e.doc_id"""))
 def content_coverage(spark, d):
-    return gates.content_coverage(V.blocks(spark, d).where("ord % 2 = 0"), V.target_blocks(spark, d))
+    return gates.content_coverage(V.blocks(spark, d), V.target_blocks(spark, d))
 
 
 @query(with_views("blocks", body=""", un AS (SELECT doc_id, CASE WHEN ord % 29 = 7 THEN doc_id || '-0' ELSE block_id END AS unit_id, CASE WHEN ord % 31 = 4 THEN 'none' ELSE lane END AS region_id, type AS kind, CASE WHEN type = 'figure' THEN 'a' || block_id END AS asset_id FROM blocks),

@@ -182,18 +182,18 @@ def first_occurrence(spark, d):
     return work.first_occurrences(b, terms)
 
 
-@query("""WITH RECURSIVE m AS (SELECT DISTINCT l_suppkey % 5 AS doc_id, l_orderkey AS grp, l_partkey % 400 AS node FROM lineitem WHERE l_orderkey % 12 = 0), r(doc_id, node) AS (
+@query("""WITH RECURSIVE m AS (SELECT DISTINCT l_suppkey % 5 AS doc_id, l_orderkey AS grp, l_partkey % 400 AS node FROM lineitem), r(doc_id, node) AS (
     SELECT DISTINCT doc_id, node FROM m WHERE node = 7 UNION SELECT b.doc_id, b.node FROM r JOIN m a ON a.doc_id = r.doc_id AND a.node = r.node JOIN m b ON b.doc_id = a.doc_id AND b.grp = a.grp) SELECT doc_id, node FROM r""")
 def reanalysis_closure(spark, d):
-    m = table(spark, d, "lineitem").where("l_orderkey % 12 = 0").select((F.col("l_suppkey") % 5).alias("doc_id"), F.col("l_orderkey").alias("grp"), (F.col("l_partkey") % 400).alias("node")).distinct()
+    m = table(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("doc_id"), F.col("l_orderkey").alias("grp"), (F.col("l_partkey") % 400).alias("node")).distinct()
     return graphs.spread(m, m.where("node = 7").select("doc_id", "node"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 50 AS doc_id, o_orderkey % 40 AS a, (o_orderkey * 3 + 1) % 40 AS b FROM orders WHERE o_orderkey % 7 = 1), r AS (
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS doc_id, o_orderkey % 40 AS a, (o_orderkey * 3 + 1) % 40 AS b FROM orders), r AS (
     SELECT doc_id, a, b FROM e UNION SELECT r.doc_id, r.a, e.b FROM r JOIN e ON e.doc_id = r.doc_id AND e.a = r.b) SELECT DISTINCT doc_id FROM r WHERE a = b""")
 def order_cycle(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 7 = 1")
-    return graphs.cyclic(o.select((F.col("o_custkey") % 50).alias("doc_id"), (F.col("o_orderkey") % 40).alias("a"), ((F.col("o_orderkey") * 3 + 1) % 40).alias("b")))
+    o = table(spark, d, "orders")
+    return graphs.cyclic(o.select(F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 40).alias("a"), ((F.col("o_orderkey") * 3 + 1) % 40).alias("b")))
 
 
 def _page_ends(spark, d):
@@ -244,9 +244,9 @@ def relation_classes(spark, d):
 
 
 @query(with_views("turn_pairs", body=r"""SELECT DISTINCT conv_id AS doc_id, lower(trim(a)) AS na, lower(trim(b)) AS nb FROM (SELECT *, string_split(source, ' ')[1] AS a, string_split(target, ' ')[1] AS b FROM turn_pairs)
-    WHERE trim(a) <> '' AND trim(b) <> '' AND contains(trim(regexp_replace(lower(source), '[\s　]+', ' ', 'g')), trim(regexp_replace(lower(a), '[\s　]+', ' ', 'g'))) AND turn % 2 = 0""".replace("lower(trim(a))", "trim(regexp_replace(lower(a), '[\\s　]+', ' ', 'g'))").replace("lower(trim(b))", "trim(regexp_replace(lower(b), '[\\s　]+', ' ', 'g'))")))
+    WHERE trim(a) <> '' AND trim(b) <> '' AND contains(trim(regexp_replace(lower(source), '[\s　]+', ' ', 'g')), trim(regexp_replace(lower(a), '[\s　]+', ' ', 'g')))""".replace("lower(trim(a))", "trim(regexp_replace(lower(a), '[\\s　]+', ' ', 'g'))").replace("lower(trim(b))", "trim(regexp_replace(lower(b), '[\\s　]+', ' ', 'g'))")))
 def span_validation(spark, d):
-    t = V.turn_pairs(spark, d).where("turn % 2 = 0")
+    t = V.turn_pairs(spark, d)
     word = lambda c: F.get(F.split(c, " "), F.lit(0))
     return alignment.valid_spans(t.select(F.col("conv_id").alias("doc_id"), word("source").alias("a"), word("target").alias("b"), "source", "target"))
 
@@ -254,7 +254,7 @@ def span_validation(spark, d):
 def _segment_scores(spark, d):
     """Positions of the two sides of each conversation pair's sentences, scored by shared length."""
     t = V.turn_pairs(spark, d)
-    side = lambda c: t.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("segment"), F.posexplode(F.slice(T.sentences(F.col(c)), 1, 12)).alias("pos", "text"))
+    side = lambda c: t.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("segment"), F.posexplode(T.sentences(F.col(c))).alias("pos", "text"))
     score = lambda a, b: 1 - F.abs(F.length(a) - F.length(b)) / F.greatest(F.length(a), F.length(b))
     return alignment.score_texts(side("source"), side("target"), score)
 
@@ -272,7 +272,7 @@ def block_dp(spark, d):
 @query()
 def parse_page(spark, d):
     b = V.blocks(spark, d)
-    items = b.select("doc_id", "page", F.col("ord").alias("item_no"), F.substring("text", 1, 40).alias("str"), "x", (F.col("y") + F.col("ord") % 3).alias("y"), "w", "h")
+    items = b.select("doc_id", "page", F.col("ord").alias("item_no"), F.col("text").alias("str"), "x", (F.col("y") + F.col("ord") % 3).alias("y"), "w", "h")
     return sequential.lines_of(items, 612.0)
 
 
@@ -294,7 +294,7 @@ def repair_chunks(spark, d):
 @query()
 def source_geometry(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
-    parts = docs.select("doc_id", F.posexplode(F.slice(T.sentences(F.col("text")), 1, 40)).alias("pos", "part"))
+    parts = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "part"))
     return sequential.match_segments(parts, docs)
 
 
@@ -311,7 +311,7 @@ def region_merge(spark, d):
 
 
 def _assets(spark, d):
-    r = V.rects(spark, d).where("page % 3 = 0").withColumn("doc_id", F.col("page"))
+    r = V.rects(spark, d).withColumn("doc_id", F.col("page"))
     kind = F.get(F.array(*map(F.lit, ["figure", "table", "formula", "code"])), (F.col("id") % 4).cast("int"))
     box = [F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")]
     caption = F.when(F.col("id") % 3 == 1, F.concat(F.lit("c"), F.col("id").cast("string")))
@@ -321,8 +321,8 @@ def _assets(spark, d):
     return regions, captions
 
 
-_AS = """rg AS (SELECT page, id, ['figure', 'table', 'formula', 'code'][id % 4 + 1] AS kind, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, h::DOUBLE AS h, CASE WHEN id % 3 = 1 THEN 'c' || id END AS caption_id FROM rects WHERE page % 3 = 0),
-    cp AS (SELECT page, 'c' || id AS caption_id, ['figure', 'table', 'formula', 'code'][id % 4 + 1] AS kind, x::DOUBLE AS x, (y + CASE WHEN id % 2 = 0 THEN 20 ELSE 32 END)::DOUBLE AS y, w::DOUBLE AS w, 10.0::DOUBLE AS h FROM rects WHERE page % 3 = 0 AND id % 3 = 1)"""
+_AS = """rg AS (SELECT page, id, ['figure', 'table', 'formula', 'code'][id % 4 + 1] AS kind, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, h::DOUBLE AS h, CASE WHEN id % 3 = 1 THEN 'c' || id END AS caption_id FROM rects),
+    cp AS (SELECT page, 'c' || id AS caption_id, ['figure', 'table', 'formula', 'code'][id % 4 + 1] AS kind, x::DOUBLE AS x, (y + CASE WHEN id % 2 = 0 THEN 20 ELSE 32 END)::DOUBLE AS y, w::DOUBLE AS w, 10.0::DOUBLE AS h FROM rects WHERE id % 3 = 1)"""
 
 
 @query(with_views("rects", body=f""", {_AS} SELECT page, id, y1 AS y, e1 - y1 AS h FROM (SELECT page, id, CASE WHEN kind IN ('table', 'code') AND above IS NOT NULL THEN least(y + h, above + 2) ELSE y END AS y1,

@@ -37,17 +37,17 @@ HEADS = [
 
 
 def paragraphs(spark, d) -> DataFrame:
-    """Groups of four lines, each with one of the heads, cut to 300 characters."""
+    """Groups of four lines, most with one of the heads."""
     g = V.lines(spark, d).withColumn("grp", F.floor(F.col("line_no") / 4))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     g = g.groupBy("doc_id", "grp").agg(text.alias("t"))
     k = (F.col("doc_id") + F.col("grp")) % 24
     head = F.coalesce(F.get(F.array(*map(F.lit, HEADS)), k.cast("int")), F.lit(""))
-    body = F.when((k < 12) & (F.col("grp") % 3 == 0), "").otherwise(F.substring("t", 1, 300))
+    body = F.when((k < 12) & (F.col("grp") % 3 == 0), "").otherwise(F.col("t"))
     return g.select("doc_id", "grp", F.concat(head, body).alias("text"))
 
 
-_PARA = "pg AS (SELECT doc_id, line_no // 4 AS grp, string_agg(line, chr(10) ORDER BY line_no) AS t FROM lines GROUP BY ALL), para AS (SELECT doc_id, grp, coalesce([{}][(doc_id + grp) % 24 + 1], '') || CASE WHEN (doc_id + grp) % 24 < 12 AND grp % 3 = 0 THEN '' ELSE substr(t, 1, 300) END AS text FROM pg)".format(
+_PARA = "pg AS (SELECT doc_id, line_no // 4 AS grp, string_agg(line, chr(10) ORDER BY line_no) AS t FROM lines GROUP BY ALL), para AS (SELECT doc_id, grp, coalesce([{}][(doc_id + grp) % 24 + 1], '') || CASE WHEN (doc_id + grp) % 24 < 12 AND grp % 3 = 0 THEN '' ELSE t END AS text FROM pg)".format(
     ", ".join("'" + h.replace("\n", "' || chr(10) || '") + "'" for h in HEADS)
 )
 
@@ -104,21 +104,21 @@ def algorithm_boundaries(spark, d):
     return paragraphs(spark, d).select("doc_id", "grp", P.is_algorithm_boundary(F.lit("paragraph"), F.col("text")).alias("boundary"))
 
 
-_SPACED = "'P ERF C OMP ' || substr(t, 1, 8) || ' 2 . 08 and 7 % or MNT4-' || chr(10) || ' 753 '"
+_SPACED = "'P ERF C OMP ' || t || ' 2 . 08 and 7 % or MNT4-' || chr(10) || ' 753 '"
 
 
-@query(with_views("lines", body=_PRE + rf"""SELECT doc_id, grp, regexp_replace(regexp_replace(regexp_replace(s, '(\d)\s*[.]\s*(\d)', '\1.\2', 'g'), '(\d)\s*([%‰×])\s*', '\1\2', 'g'), '\b([A-Za-z]+\d*)-[ \t]*\n[ \t]*(\d+)\b', '\1-\2', 'g') AS spaced,
+@query(with_views("lines", body=_PRE + rf"""SELECT doc_id, grp, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '(\d)\s*[.]\s*(\d)', '\1.\2', 'g'), '(\d)\s*[.]\s*(\d)', '\1.\2', 'g'), '(\d)\s*([%‰×])\s*', '\1\2', 'g'), '\b([A-Za-z]+\d*)-[ \t]*\n[ \t]*(\d+)\b', '\1-\2', 'g') AS spaced,
     regexp_replace(regexp_replace(lower(t), '\s+', '', 'g'), '[.,;:()\[\]{{}}]', '', 'g') AS fragment, lower({_FLAT}) AS furniture,
     regexp_replace(t, '([\\#$*_`<>@\[\]{{}}~^/=+-])', '\\\1', 'g') AS escaped FROM (SELECT *, {_SPACED} AS s FROM p)"""))
 def text_rewrites(spark, d):
     t = strip("text")
-    s = F.concat(F.lit("P ERF C OMP "), F.substring(t, 1, 8), F.lit(" 2 . 08 and 7 % or MNT4-\n 753 "))
+    s = F.concat(F.lit("P ERF C OMP "), t, F.lit(" 2 . 08 and 7 % or MNT4-\n 753 "))
     return paragraphs(spark, d).select(
         "doc_id", "grp", P.numeric_spacing(s).alias("spaced"), P.fragment_key(t).alias("fragment"), P.furniture_key(F.col("text")).alias("furniture"), P.escape_markup(t).alias("escaped")
     )
 
 
-@query(with_views("lines", body=_PRE + r""", j AS (SELECT doc_id, grp, trim(substr(t, 1, 10 + grp % 9), ' ' || chr(9) || chr(10) || chr(13)) || CASE WHEN grp % 3 = 0 THEN '-' ELSE '' END AS a, trim(substr(t, 11 + grp % 9, 12), ' ' || chr(9) || chr(10) || chr(13)) AS b FROM p)
+@query(with_views("lines", body=_PRE + r""", j AS (SELECT doc_id, grp, trim(substr(t, 1, 10 + grp % 9), ' ' || chr(9) || chr(10) || chr(13)) || CASE WHEN grp % 3 = 0 THEN '-' ELSE '' END AS a, trim(substr(t, 11 + grp % 9), ' ' || chr(9) || chr(10) || chr(13)) AS b FROM p)
     SELECT doc_id, grp, CASE WHEN a LIKE '%-' AND regexp_matches(b, '^[a-z]') THEN substr(a, 1, length(a) - 1) || b ELSE a || ' ' || b END AS caption,
     CASE WHEN a LIKE '%-' AND regexp_matches(b, '^[a-z]') THEN substr(a, 1, length(a) - 1) || b WHEN a LIKE '%-' AND regexp_matches(b, '^\d') THEN a || b ELSE a || ' ' || b END AS reference,
     CASE WHEN a = '' THEN b WHEN b = '' THEN a WHEN h <> '' AND u <> '' AND (length(h) <= 2 OR regexp_matches(u, '(?i)^(?:ile|ion|ions|ing|ed|er|ers|ly|ment|tion|sion|ness|able|al|ansfer)$') OR (regexp_matches(h, '^[A-Z]{1,3}$') AND regexp_matches(u, '^[A-Z](?:[A-Z]|-[A-Z])'))) THEN a || b ELSE a || ' ' || b END AS footnote
@@ -127,15 +127,15 @@ def wrapped_joins(spark, d):
     t, g = strip("text"), F.col("grp")
     cut = (10 + g % 9).cast("int")
     a = F.concat(strip(F.substr(t, F.lit(1), cut)), F.when(g % 3 == 0, "-").otherwise(""))
-    j = paragraphs(spark, d).select("doc_id", "grp", a.alias("a"), strip(F.substr(t, cut + 1, F.lit(12))).alias("b"))
+    j = paragraphs(spark, d).select("doc_id", "grp", a.alias("a"), strip(F.substr(t, cut + 1)).alias("b"))
     x, y = F.col("a"), F.col("b")
     return j.select("doc_id", "grp", P.join_caption(x, y).alias("caption"), P.join_reference(x, y).alias("reference"), P.join_footnote(x, y).alias("footnote"))
 
 
 @query(with_views("lines", body=_PRE + r"""SELECT doc_id, grp, i::BIGINT AS pos, kind, text FROM (SELECT doc_id, grp, unnest([0, 1]) AS i, unnest(['figure', 'table']) AS kind,
-    unnest([trim('Figure ' || (grp + 1) || ': ' || trim(substr(regexp_replace(t, '[^a-z ]', '', 'g'), 1, 20))), 'Table ' || (grp + 2) || '. x' || doc_id]) AS text FROM p)"""))
+    unnest([trim('Figure ' || (grp + 1) || ': ' || trim(regexp_replace(t, '[^a-z ]', '', 'g'))), 'Table ' || (grp + 2) || '. x' || doc_id]) AS text FROM p)"""))
 def merged_captions(spark, d):
-    body = strip(F.substring(F.regexp_replace(strip("text"), "[^a-z ]", ""), 1, 20))
+    body = strip(F.regexp_replace(strip("text"), "[^a-z ]", ""))
     m = F.concat(F.lit("Figure "), (F.col("grp") + 1).cast("string"), F.lit(": "), body, F.lit(" Table "), (F.col("grp") + 2).cast("string"), F.lit(". x"), F.col("doc_id").cast("string"))
     parts = paragraphs(spark, d).select("doc_id", "grp", F.posexplode(P.caption_parts(m)).alias("pos", "p"))
     return parts.select("doc_id", "grp", F.col("pos").cast("long").alias("pos"), "p.kind", strip("p.text").alias("text"))
@@ -143,7 +143,7 @@ def merged_captions(spark, d):
 
 def answers(spark, d) -> DataFrame:
     """Orders' lines as a model's answers on pages; now and then fenced, off the page, or wrong."""
-    r = V.rects(spark, d).where("page % 5 = 0")
+    r = V.rects(spark, d)
     x = F.col("x").cast("double") * 1.5 - F.when(F.col("id") % 4 == 0, 30.0).otherwise(0.0)
     box = F.array(x, F.col("y").cast("double") * 7, F.col("w").cast("double") * 2, F.lit(60.0) + F.col("id"))
     kind = F.get(F.array(*map(F.lit, [*PP.TYPES, "note"])), F.when((F.col("page") % 35 == 0) & (F.col("id") == 2), 4).otherwise((F.col("id") % 4)).cast("int"))
@@ -154,7 +154,7 @@ def answers(spark, d) -> DataFrame:
     return pages.select(F.col("page").alias("doc_id"), "page", F.when(F.col("page") % 2 == 0, F.concat(F.lit("```json\n"), shown, F.lit("\n```"))).otherwise(shown).alias("content"))
 
 
-_ANS = """q AS (SELECT page, id, x * 1.5 - CASE WHEN id % 4 = 0 THEN 30.0 ELSE 0.0 END AS bx, y * 7.0 AS bv, w * 2.0 AS bw, 60.0 + id AS bh, CASE WHEN page % 35 = 0 AND id = 2 THEN 'note' ELSE ['figure', 'table', 'display_formula', 'code'][id % 4 + 1] END AS type FROM rects WHERE page % 5 = 0),
+_ANS = """q AS (SELECT page, id, x * 1.5 - CASE WHEN id % 4 = 0 THEN 30.0 ELSE 0.0 END AS bx, y * 7.0 AS bv, w * 2.0 AS bw, 60.0 + id AS bh, CASE WHEN page % 35 = 0 AND id = 2 THEN 'note' ELSE ['figure', 'table', 'display_formula', 'code'][id % 4 + 1] END AS type FROM rects),
     c AS (SELECT *, NOT (bx >= 0 AND bv >= 0 AND bw > 0 AND bh > 0 AND bx + bw <= 1000 AND bv + bh <= 1000) AND bx >= 0 AND bv >= 0 AND bw <= 1000 AND bh <= 1000 AND bw > bx AND bh > bv AS co FROM q),
     s AS (SELECT page, id, type, bx AS x0, bv AS y0, CASE WHEN co THEN bw - bx ELSE bw END AS w0, CASE WHEN co THEN bh - bv ELSE bh END AS h0 FROM c),
     z AS (SELECT *, greatest(0.0, x0) AS x1, greatest(0.0, y0) AS y1, least(1000.0, x0 + w0) - greatest(0.0, x0) AS w1, least(1000.0, y0 + h0) - greatest(0.0, y0) AS h1, x0 >= -100 AND y0 >= -100 AND x0 + w0 <= 1100 AND y0 + h0 <= 1100 AS near FROM s),
@@ -180,7 +180,7 @@ def page_plan_digests(spark, d):
 
 
 def _plan(spark, d):
-    r = V.rects(spark, d).where("page % 5 = 0").withColumn("doc_id", F.col("page"))
+    r = V.rects(spark, d).withColumn("doc_id", F.col("page"))
     name = lambda c: F.concat(F.lit("r"), c.cast("string"))
     box = F.array(*(F.col(c).cast("double") for c in ("x", "y", "w", "h")))
     regions = r.select("doc_id", "page", name(F.when(F.col("id") == 5, 4).otherwise(F.col("id"))).alias("id"), F.when(F.col("id") == 6, "note").otherwise("figure").alias("type"),
@@ -189,18 +189,18 @@ def _plan(spark, d):
     return regions, edges
 
 
-@query(with_views("rects", body="""SELECT code, count(*)::BIGINT AS n FROM (SELECT 'duplicate-region-id' AS code, page FROM rects WHERE page % 5 = 0 AND id IN (4, 5) GROUP BY page HAVING count(*) > 1 UNION ALL SELECT 'unsupported-region-type', page FROM rects WHERE page % 5 = 0 AND id = 6
-    UNION ALL SELECT 'invalid-bbox', page FROM rects WHERE page % 5 = 0 AND w > 115 UNION ALL SELECT 'self-order-edge', page FROM rects WHERE page % 5 = 0 AND x > 400
-    UNION ALL SELECT 'unknown-order-region', page FROM (SELECT DISTINCT page, e FROM (SELECT page, id AS e FROM rects WHERE page % 5 = 0 UNION ALL SELECT page, CASE WHEN x > 400 THEN id WHEN y > 90 THEN id - 1 ELSE id + 1 END FROM rects WHERE page % 5 = 0) u
+@query(with_views("rects", body="""SELECT code, count(*)::BIGINT AS n FROM (SELECT 'duplicate-region-id' AS code, page FROM rects WHERE id IN (4, 5) GROUP BY page HAVING count(*) > 1 UNION ALL SELECT 'unsupported-region-type', page FROM rects WHERE id = 6
+    UNION ALL SELECT 'invalid-bbox', page FROM rects WHERE w > 115 UNION ALL SELECT 'self-order-edge', page FROM rects WHERE x > 400
+    UNION ALL SELECT 'unknown-order-region', page FROM (SELECT DISTINCT page, e FROM (SELECT page, id AS e FROM rects UNION ALL SELECT page, CASE WHEN x > 400 THEN id WHEN y > 90 THEN id - 1 ELSE id + 1 END FROM rects) u
       WHERE NOT EXISTS (SELECT 1 FROM rects r WHERE r.page = u.page AND (CASE WHEN r.id = 5 THEN 4 ELSE r.id END) = u.e))
-    UNION ALL SELECT DISTINCT 'order-cycle', a.page FROM rects a LEFT JOIN rects b ON b.page = a.page AND b.id = a.id + 1 WHERE a.page % 5 = 0 AND (a.x > 400 OR (a.y <= 90 AND b.y > 90 AND b.x <= 400))) GROUP BY code"""))
+    UNION ALL SELECT DISTINCT 'order-cycle', a.page FROM rects a LEFT JOIN rects b ON b.page = a.page AND b.id = a.id + 1 WHERE (a.x > 400 OR (a.y <= 90 AND b.y > 90 AND b.x <= 400))) GROUP BY code"""))
 def plan_verification(spark, d):
     return PP.verify(*_plan(spark, d)).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def plan_patches(spark, d):
-    r = V.rects(spark, d).where("page % 5 = 0").withColumn("doc_id", F.col("page"))
+    r = V.rects(spark, d).withColumn("doc_id", F.col("page"))
     box = [F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")]
     regions = r.select("doc_id", "page", F.col("id").cast("string").alias("id"), F.lit("figure").alias("type"), *box, (F.col("id") == 3).alias("locked"), (F.col("id") != 4).alias("may_move"))
     moves = r.where("id % 2 = 1").select("doc_id", "page", F.col("id").alias("seq"), F.lit("move").alias("op"), F.col("id").cast("string").alias("id"), (F.col("x") + 5.0).alias("x"), F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"), F.col("h").cast("double").alias("h"))
@@ -259,20 +259,24 @@ def run_placement(spark, d):
 
 
 def _items(spark, d) -> DataFrame:
-    b = V.blocks(spark, d).where("line_no < 12")
-    return b.select("doc_id", "page", F.lit(0).alias("line_no"), F.col("ord").alias("item_no"), F.substring("text", 1, 16).alias("str"), "x", F.lit(40.0).alias("y"), F.lit(64.0).alias("w"), "h")
+    b = V.blocks(spark, d)
+    return b.select("doc_id", "page", F.lit(0).alias("line_no"), F.col("ord").alias("item_no"), F.col("text").alias("str"), "x", F.lit(40.0).alias("y"), F.lit(64.0).alias("w"), "h")
 
 
-@query(with_views("blocks", body="""SELECT doc_id, source::BIGINT AS source, substr(s, k + 1, 1) AS ch, x + k * (64.0 / length(s)) AS x FROM (SELECT *, unnest(range(length(s))) AS k, o + unnest(range(length(s))) AS source FROM (
-    SELECT doc_id, ord, x, substr(text, 1, 16) AS s, coalesce(sum(length(substr(text, 1, 16)) + 1) OVER (PARTITION BY doc_id, page ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM blocks WHERE line_no < 12))"""))
+@query(with_views("blocks", body="""SELECT doc_id, page, count(*)::BIGINT AS n, max(source)::BIGINT AS last, min(x) AS left_x, max(x) AS right_x, (count(*) FILTER (ch = 'e'))::BIGINT AS es FROM (
+    SELECT doc_id, page, substr(text, k + 1, 1) AS ch, x + k * (64.0 / length(text)) AS x, o + k AS source FROM (SELECT *, unnest(range(length(text))) AS k FROM (
+    SELECT doc_id, page, ord, x, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, page ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM blocks))) GROUP BY doc_id, page"""))
 def glyph_boxes(spark, d):
-    return runs.glyphs(_items(spark, d)).select("doc_id", F.col("source").cast("long").alias("source"), "ch", "x")
+    g = runs.glyphs(_items(spark, d)).groupBy("doc_id", "page")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.max("source").cast("long").alias("last"), F.min("x").alias("left_x"), F.max("x").alias("right_x"), F.count_if(F.col("ch") == "e").alias("es"))
 
 
 @query()
 def range_boxes(spark, d):
-    g = runs.glyphs(_items(spark, d)).where("page = 0")
-    ranges = g.select("doc_id").distinct().withColumn("range_id", F.lit(0).cast("long")).withColumn("first", F.lit(5)).withColumn("last", F.lit(60))
+    one = F.col("doc_id") * 1000 + F.col("page")  # a page is a document of its own here
+    g = runs.glyphs(_items(spark, d)).withColumn("doc_id", one)
+    every = g.groupBy("doc_id").agg(F.max("source").alias("end")).select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("end") / 200).cast("int"))).alias("k"))
+    ranges = every.select("doc_id", F.col("k").cast("long").alias("range_id"), (F.col("k") * 200).alias("first"), (F.col("k") * 200 + 200).alias("last"))
     return runs.range_boxes(g.select("doc_id", "source", "x", "y", "w", "h"), ranges)
 
 
@@ -302,10 +306,10 @@ def project_packages(spark, d):
 @query()
 def approximate_places(spark, d):
     """Sentences with a word left out, found again in their documents."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.substring("text", 1, 4000).alias("text"))
-    s = docs.select("doc_id", F.posexplode(F.slice(T.sentences(F.col("text")), 1, 6)).alias("pos", "part"))
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    s = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "part"))
     gap = F.regexp_replace("part", r"^(\S+ \S+ \S+ )\S+ ", "$1")
-    return ranges.place_parts(s.where(F.length("part") > 30).withColumn("part", F.when(F.col("pos") % 2 == 0, gap).otherwise(F.col("part"))), docs)
+    return ranges.place_parts(s.withColumn("part", F.when(F.col("pos") % 2 == 0, gap).otherwise(F.col("part"))), docs)
 
 
 def _crossing(spark, d) -> DataFrame:
