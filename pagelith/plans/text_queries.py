@@ -107,7 +107,7 @@ def algorithm_boundaries(spark, d):
 _SPACED = "'P ERF C OMP ' || t || ' 2 . 08 and 7 % or MNT4-' || chr(10) || ' 753 '"
 
 
-@query(with_views("lines", body=_PRE + rf"""SELECT doc_id, grp, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '(\d)\s*[.]\s*(\d)', '\1.\2', 'g'), '(\d)\s*[.]\s*(\d)', '\1.\2', 'g'), '(\d)\s*([%‰×])\s*', '\1\2', 'g'), '\b([A-Za-z]+\d*)-[ \t]*\n[ \t]*(\d+)\b', '\1-\2', 'g') AS spaced,
+@query(with_views("lines", body=_PRE + rf"""SELECT doc_id, grp, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '(\d)(?:\s+[.]\s*|\s*[.]\s+)(\d)', '\1.\2', 'g'), '(\d)(?:\s+[.]\s*|\s*[.]\s+)(\d)', '\1.\2', 'g'), '(\d)\s*([%‰×])\s*', '\1\2', 'g'), '\b([A-Za-z]+\d*)-[ \t]*\n[ \t]*(\d+)\b', '\1-\2', 'g') AS spaced,
     regexp_replace(regexp_replace(lower(t), '\s+', '', 'g'), '[.,;:()\[\]{{}}]', '', 'g') AS fragment, lower({_FLAT}) AS furniture,
     regexp_replace(t, '([\\#$*_`<>@\[\]{{}}~^/=+-])', '\\\1', 'g') AS escaped FROM (SELECT *, {_SPACED} AS s FROM p)"""))
 def text_rewrites(spark, d):
