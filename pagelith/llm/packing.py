@@ -85,7 +85,7 @@ class Encoder:
     tokenizer as they are, and texts with a special token's name go whole.
     """
 
-    def __init__(self, path: str, cache: int = 1_000_000):
+    def __init__(self, path: str, cache: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has one core
         from tokenizers import Tokenizer
 
