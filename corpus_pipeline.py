@@ -30,8 +30,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least doc_id of each group of near duplicates stays."""
     lowest = F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))
     groups = near_duplicates.near_duplicates(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(lowest.alias("stays")).distinct()
-    kept = row_keys(docs, carry=True).join(stay, lowest == F.col("stays"), "left_semi").dropDuplicates(["k1"])
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(lowest.alias("doc")).distinct()
+    # rows that repeat: one of them, without another shuffle of texts
+    kept = row_keys(docs, carry=True).withColumn("doc", lowest).join(stay, "doc", "left_semi").dropDuplicates(["doc", "k1"])
     return kept.select(*((F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
