@@ -61,18 +61,21 @@ def type_counts(source: DataFrame, target: DataFrame) -> DataFrame:
     return _issue(both.where("n <> 0"), "R3", "error", detail=F.concat_ws(":", "type", F.col("n").cast("string")))
 
 
-def pairing(source: DataFrame, pairs: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """R4: every text block has a translation that is not empty; allowed (doc_id, block_id) only warn."""
+def unpaired(source: DataFrame, pairs: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """Text blocks without a pair; allowed (doc_id, block_id) only warn."""
     text_blocks = source.where(~F.col("type").isin(*UNPAIRED_TYPES)).select("doc_id", "block_id")
     paired = pairs.select("doc_id", F.col("source_id").alias("block_id")).distinct()
     missing = text_blocks.join(paired, ["doc_id", "block_id"], "left_anti")
     if allowed is not None:
         missing = missing.join(allowed.select("doc_id", "block_id", F.lit(True).alias("ok")).distinct(), ["doc_id", "block_id"], "left")
     severity = F.when(F.col("ok"), "warn").otherwise("error") if allowed is not None else "error"
+    return _issue(missing, "R4", severity, F.col("block_id"), F.lit("unpaired"))
+
+
+def pairing(source: DataFrame, pairs: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """R4: every text block has a translation that is not empty."""
     empty = pairs.where(F.length(F.trim(F.coalesce("text", F.lit("")))) == 0)
-    return _issue(missing, "R4", severity, F.col("block_id"), F.lit("unpaired")).unionByName(
-        _issue(empty, "R4", "error", F.col("source_id"), F.lit("empty"))
-    )
+    return unpaired(source, pairs, allowed).unionByName(_issue(empty, "R4", "error", F.col("source_id"), F.lit("empty")))
 
 
 def formula_marks(source: DataFrame, target: DataFrame, pairs: DataFrame, tolerance: int = 2) -> DataFrame:
@@ -105,13 +108,49 @@ def missing_numbers(source: DataFrame, target: DataFrame, pairs: DataFrame) -> D
     return _issue(missing, "R8", "warn", detail=F.col("n").cast("string"))
 
 
+def _dollars() -> Column:
+    return F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("$"), F.lit(""))), F.lit(0))
+
+
+def _profile(blocks: DataFrame, side: str) -> DataFrame:
+    """All that R1, R2, R3, R5 and R8 need of a side, one row per document."""
+    ordered = lambda v: F.transform(F.sort_array(F.collect_list(F.when(v.isNotNull(), F.struct(F.col("ord"), v.alias("v"))))), lambda p: p["v"])
+    section = F.when(F.col("type") == "section", T.section_number(F.trim("text")))
+    return blocks.groupBy("doc_id").agg(
+        ordered(T.numbered_label(F.col("text"))).alias(f"{side}_labels"), ordered(section).alias(f"{side}_sections"), F.sum(_dollars()).alias(f"{side}_dollars"),
+        F.array_distinct(F.flatten(F.collect_list(T.numbers(F.coalesce("text", F.lit("")))))).alias(f"{side}_numbers"),
+        *(F.count_if(F.col("type") == t).alias(f"{side}_{t}") for t in COUNTED),
+    )
+
+
 def rule_audit(source: DataFrame, target: DataFrame, pairs: DataFrame, terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """All issues of R1 to R8."""
-    parts = [
-        label_sequence(source, target), section_sets(source, target), type_counts(source, target), pairing(source, pairs, allowed),
-        formula_marks(source, target, pairs), abbreviations(target, pairs, terms), pollution(pairs), missing_numbers(source, target, pairs),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """All issues of R1 to R8: the rules above, with each side aggregated once and joined by document."""
+    text = F.coalesce("text", F.lit(""))
+    p = pairs.groupBy("doc_id").agg(
+        F.sum(_dollars()).alias("p_dollars"), F.array_distinct(F.flatten(F.collect_list(T.numbers(text)))).alias("p_numbers"),
+        F.collect_list(F.when(text.rlike(T.POLLUTION), F.col("source_id"))).alias("polluted"), F.collect_list(F.when(F.length(F.trim(text)) == 0, F.col("source_id"))).alias("empty"),
+    )
+    d = _profile(source, "s").join(_profile(target, "t"), "doc_id", "full_outer").join(p, "doc_id", "full_outer")
+    strings, doubles = (lambda c: F.coalesce(c, F.array().cast("array<string>"))), (lambda c: F.coalesce(c, F.array().cast("array<double>")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    row = lambda rule, severity, detail, block=None: F.struct(
+        F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), (F.lit(None).cast("string") if block is None else block).alias("block_id"), detail.alias("detail")
+    )
+    beside = lambda a, b: F.concat_ws("|", F.array_join(a, ","), F.array_join(b, ","))
+    sl, tl, ss, ts = (strings(F.col(c)) for c in ("s_labels", "t_labels", "s_sections", "t_sections"))
+    missing, extra = F.filter(ss, lambda v: ~F.array_contains(ts, v)), F.filter(ts, lambda v: ~F.array_contains(ss, v))
+    counts = [F.when(zero(f"s_{t}") != zero(f"t_{t}"), row("R3", "error", F.concat_ws(":", F.lit(t), (zero(f"s_{t}") - zero(f"t_{t}")).cast("string")))) for t in COUNTED]
+    s_d, t_d = zero("s_dollars"), zero("t_dollars") + zero("p_dollars")
+    lost = F.size(F.array_except(doubles(F.col("s_numbers")), F.array_union(doubles(F.col("t_numbers")), doubles(F.col("p_numbers")))))
+    found = F.array_compact(F.array(
+        F.when(sl != tl, row("R1", "error", beside(sl, tl))), F.when((F.size(missing) > 0) | (F.size(extra) > 0), row("R2", "error", beside(missing, extra))), *counts,
+        F.when(F.abs(s_d - t_d) > 2, row("R5", "warn", F.concat_ws(":", s_d.cast("string"), t_d.cast("string")))), F.when(lost > 0, row("R8", "warn", lost.cast("string"))),
+    ))
+    each = F.concat(
+        found, F.transform(strings(F.col("polluted")), lambda b: row("R7", "error", F.lit(""), b)), F.transform(strings(F.col("empty")), lambda b: row("R4", "error", F.lit("empty"), b))
+    )
+    of_documents = d.select("doc_id", F.explode(each).alias("i")).select("doc_id", "i.rule", "i.severity", "i.block_id", "i.detail")
+    return reduce(DataFrame.unionByName, [of_documents, unpaired(source, pairs, allowed), abbreviations(target, pairs, terms)])
 
 
 def summary(docs: DataFrame, issues: DataFrame) -> DataFrame:
