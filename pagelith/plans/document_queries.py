@@ -120,10 +120,10 @@ def protected_tokens(spark, d):
     return V.blocks(spark, d).select("block_id", F.posexplode(T.protected_tokens(F.col("text"))).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(with_views("blocks", body=r"SELECT block_id, len(regexp_extract_all(text, '\d+(?:\.\d+)?'))::BIGINT AS n, coalesce(list_sum(list_transform(regexp_extract_all(text, '\d+(?:\.\d+)?'), lambda x: x::DOUBLE)), 0)::DOUBLE AS total FROM blocks"))
+@query(with_views("blocks", body=r"SELECT block_id, len(regexp_extract_all(text, '\d+(?:\.\d+)?'))::BIGINT AS n, list_max(list_transform(regexp_extract_all(text, '\d+(?:\.\d+)?'), lambda x: x::DOUBLE)) AS largest FROM blocks"))
 def structural_numbers(spark, d):
     n = T.numbers(F.col("text"))
-    return V.blocks(spark, d).select("block_id", F.size(n).cast("long").alias("n"), F.aggregate(n, F.lit(0.0), lambda s, x: s + x).alias("total"))
+    return V.blocks(spark, d).select("block_id", F.size(n).cast("long").alias("n"), F.array_max(n).alias("largest"))
 
 
 @query(with_views("blocks", body=f"SELECT block_id, {_SEC} AS number FROM blocks WHERE {_SEC} IS NOT NULL"))

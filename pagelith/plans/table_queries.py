@@ -220,14 +220,14 @@ def crosspage_chains(spark, d):
     return graphs.chains(links)
 
 
-@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS begin, event_type, count(*)::BIGINT AS n, sum(value) AS total FROM events GROUP BY ALL")
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS begin, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark, d):
-    return streaming.windows(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 hour")
+    return streaming.windows(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 hour").withColumn("total", F.round("total", 4))
 
 
-@query("""SELECT b AS begin, event_type, count(*)::BIGINT AS n, sum(value) AS total FROM (SELECT *, unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes']) AS b FROM events) GROUP BY ALL""")
+@query("""SELECT b AS begin, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM (SELECT *, unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes']) AS b FROM events) GROUP BY ALL""")
 def stream_sliding(spark, d):
-    return streaming.windows(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 hour", "30 minutes")
+    return streaming.windows(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 hour", "30 minutes").withColumn("total", F.round("total", 4))
 
 
 @query("""SELECT min(ts) AS begin, max(ts) + INTERVAL '20 minutes' AS "end", user_id, count(*)::BIGINT AS n FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (

@@ -248,14 +248,15 @@ def page_plan_keys(spark, d):
 
 
 @query("""WITH m AS (SELECT l_orderkey AS doc_id, l_linenumber AS item_no, l_quantity AS q, l_tax AS s, l_discount AS w, CASE WHEN l_linenumber % 5 = 0 THEN 1.0 ELSE 0.0 END AS r FROM lineitem)
-    SELECT doc_id, item_no, (1.5 * (10 + q))::DOUBLE AS x, (-1.5 * (20 + q) + 1188.0 - greatest(sqrt(pow(1.5 * r, 2) + pow(1.5 * (9 + s), 2)), 0.0))::DOUBLE AS y, (100 * w * 1.5)::DOUBLE AS w, greatest(sqrt(pow(1.5 * r, 2) + pow(1.5 * (9 + s), 2)), 0.0)::DOUBLE AS h, r > 0 AS rotated FROM m""")
+    SELECT doc_id, item_no, round((1.5 * (10 + q))::DOUBLE, 6) AS x, round((-1.5 * (20 + q) + 1188.0 - sqrt(pow(1.5 * r, 2) + pow(1.5 * (9 + s), 2)))::DOUBLE, 6) AS y, round((100 * w * 1.5)::DOUBLE, 6) AS w,
+    round(sqrt(pow(1.5 * r, 2) + pow(1.5 * (9 + s), 2))::DOUBLE, 6) AS h, r > 0 AS rotated FROM m""")
 def run_placement(spark, d):
     i = table(spark, d, "lineitem")
     r = F.when(F.col("l_linenumber") % 5 == 0, 1.0).otherwise(0.0)
     m = F.array(9 + F.col("l_tax"), r, r, 9 + F.col("l_tax"), 10 + F.col("l_quantity"), 20 + F.col("l_quantity"))
     items = i.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.col("l_linenumber").alias("item_no"), F.lit("x").alias("str"), m.alias("matrix"), (100 * F.col("l_discount")).alias("width"), F.lit(0.0).alias("height"))
     view = F.array(*map(F.lit, (1.5, 0.0, 0.0, -1.5, 0.0, 1188.0)))
-    return runs.placed(items, view).select("doc_id", "item_no", "x", "y", "w", "h", "rotated")
+    return runs.placed(items, view).select("doc_id", "item_no", *(F.round(c, 6).alias(c) for c in ("x", "y", "w", "h")), "rotated")
 
 
 def _items(spark, d) -> DataFrame:
