@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from pagelith.llm.common import row_keys
 
-WINDOW = 8
-STRIDE = 4
+WINDOW = 4
 COVERAGE = 0.6
 #: Benchmark windows are broadcast up to this many rows of three numbers; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -47,16 +46,21 @@ def tokens(text: Column) -> Column:
     return F.split(text, r"\s+")
 
 
-def _windows(toks: Column, width: int, stride: int) -> Column:
-    """Hashes of the windows that begin at 0, stride, ...; toks is bound once."""
-    starts = lambda t: F.sequence(F.lit(1), F.size(t) - width + 1, F.lit(stride))
-    one = F.transform(
-        F.array(toks),
-        lambda t: F.when(F.size(t) >= width, F.transform(starts(t), lambda i: F.xxhash64(F.lit(width), F.slice(t, i, width)))).otherwise(
-            F.array().cast("array<bigint>")
-        ),
-    )
-    return F.element_at(one, 1)
+def width_of(n: int, window: int = WINDOW, coverage: float = COVERAGE) -> int:
+    """Width of the windows of an item of n tokens: a run that is left whichever one token is changed, if one may be."""
+    return min(window, n // 2 if n - 1 >= coverage * n else n)
+
+
+def _windows(toks: Column, widths: list[int]) -> Column:
+    """pos and hash of the windows of each width at every position; each token is hashed once."""
+
+    def of(h: Column, width: int) -> Column:
+        one = lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(width), *(F.get(h, i + k) for k in range(width))).alias("hash"))
+        none = F.array().cast("array<struct<pos:int,hash:bigint>>")
+        return F.when(F.size(h) >= width, F.transform(F.sequence(F.lit(0), F.size(h) - width), one)).otherwise(none)
+
+    hashed = F.transform(toks, lambda t: F.xxhash64(t))
+    return F.element_at(F.transform(F.array(hashed), lambda h: F.concat(*(of(h, w) for w in widths))), 1)
 
 
 def _laid(dt: Column, dr: Column) -> Column:
@@ -77,29 +81,35 @@ def _laid(dt: Column, dr: Column) -> Column:
     return F.element_at(F.transform(F.array(matched), consistent), 1)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: int = STRIDE, coverage: float = COVERAGE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """k1 (row key), item_id, coverage of the items found in each document.
 
     An item is found if its slots map one to one and at least `coverage` of its tokens
-    stand in the document, each beside its neighbours. An item of n tokens that is all
-    there is met by some window at the stride if n >= window + stride - 1; for the
-    lengths of shorter items, windows of that length are made at every position. Null
-    and empty texts and items match nothing.
+    stand in the document, each beside its neighbours, a run of `window` of them unbroken
+    (n // 2 in an item of n < 2 * window tokens). Windows are made at every position, so
+    the offset does not matter. With k tokens changed such a run is left wherever they
+    stand if n >= window * (k + 1); a copy with more changes, each less than a window
+    from the next, is not met. What stands at several shifts is put together, but not
+    single tokens: items of less than 4 tokens must reach the coverage at one shift.
+    Null and empty texts and items match nothing.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = items.select("item_id", tokens(template_text(F.col("text"))).alias("it"), tokens(plain_text(F.col("text"))).alias("ir")).where(
         F.element_at("it", 1) != ""
     )
     shape = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("it")).alias("size"), F.sum(F.length(F.array_join("ir", " "))).alias("bytes")).first()
-    short_from = window + stride - 1
-    lengths = [r["n"] for r in items.select(F.size("it").alias("n")).where(F.col("n") < short_from).distinct().collect()]  # < window + stride
-
-    def item_windows(chosen: DataFrame, width: int) -> DataFrame:
-        return chosen.select("item_id", F.posexplode(_windows(F.col("it"), width, 1)).alias("ipos", "hash"))
-
-    wins = item_windows(items, window)
+    # fewer than 2 * window lengths: a proven bound
+    lengths = [r["n"] for r in items.select(F.size("it").alias("n")).where(F.col("n") < 2 * window).distinct().collect()]
+    widths = {width_of(n, window, coverage): [] for n in (2 * window, *sorted(lengths))}
     for n in lengths:
-        wins = wins.unionByName(item_windows(items.where(F.size("it") == n), n))
+        widths[width_of(n, window, coverage)].append(n)
+
+    wins = None
+    for width, own in widths.items():
+        long = F.size("it") >= 2 * window if width == window else F.lit(False)
+        chosen = items.where(long | F.size("it").isin(own) if own else long)
+        part = chosen.select("item_id", F.explode(_windows(F.col("it"), [width])).alias("w")).select("item_id", F.col("w.pos").alias("ipos"), F.col("w.hash").alias("hash"))
+        wins = part if wins is None else wins.unionByName(part)
     wins = wins.distinct()
     small = (shape["size"] or 0) <= BROADCAST_ROWS
     texts_small = 4 * (shape["bytes"] or 0) <= BROADCAST_BYTES
@@ -107,10 +117,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: i
     items = F.broadcast(items) if texts_small else items
 
     canon = row_keys(docs).select("k1", "text", template_text(F.col("text")).alias("template"))
-    toks = tokens(F.col("template"))
-    spots = F.transform(_windows(toks, window, stride), lambda h, i: F.struct((i * stride).alias("pos"), h.alias("hash")))
-    for n in lengths:
-        spots = F.concat(spots, F.transform(_windows(toks, n, 1), lambda h, i: F.struct(i.alias("pos"), h.alias("hash"))))
+    spots = _windows(tokens(F.col("template")), list(widths))
     met = (
         canon.select("k1", "text", "template", F.explode(spots).alias("w"))
         .select("k1", "text", "template", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"))
@@ -127,7 +134,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: i
     )
     return (
         found.groupBy("k1", "item_id")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("n"), F.max("of").alias("of"))
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("n"), F.max(F.size("matched")).alias("at_one"), F.max("of").alias("of"))
+        .withColumn("n", F.when(F.col("of") < 4, F.col("at_one")).otherwise(F.col("n")))
         .select("k1", "item_id", (F.col("n") / F.col("of")).alias("coverage"))
         .where(F.col("coverage") >= coverage)
     )

@@ -252,6 +252,24 @@ def test_slots_must_be_consistent(spark):
     assert decontamination.judge(docs.where("false"), bench).count() == 0
 
 
+def test_partial_and_edited_items_at_every_offset(spark):
+    w = lambda a, n: [f"{a}{chr(97 + i)}" for i in range(n)]
+    items = {n: w(f"item{chr(97 + n)}", n) for n in (3, 4, 5, 8, 9, 10, 16, 17)}
+    bench = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
+    rows, want = [], {}
+    for n, t in items.items():
+        edited = [[*t[:i], "zzz", *t[i + 1 :]] for i in range(n)]
+        parts = [t[i : i + -(-6 * n // 10)] for i in (0, n - -(-6 * n // 10))]
+        twice = [[*t[:5], "zzz", *t[6:11], "zzz", *t[12:]]] if n > 15 else []
+        for k, body in enumerate(edited + parts + twice):
+            for offset in range(4):
+                rows.append((len(rows), " ".join([*w("before", offset), *body, *w("after", 9)]), "", "", 0))
+                want[len(rows) - 1] = [n]
+    rows.append((len(rows), " ".join(items[16][:9]), "", "", 0))  # 9 of 16 is less than 0.6
+    want[len(rows) - 1] = []
+    assert {r.doc_id: r.item_ids for r in decontamination.judge(frame(spark, rows), bench).collect()} == want
+
+
 # --- pseudonyms ---
 
 
