@@ -106,7 +106,27 @@ def _mod97(text: Column) -> Column:
     )
 
 
+def _within(m: Column, least: int, ok, solve, rest=lambda t: t) -> Column:
+    """solve(m) if ok(m), else the first and longest part of m between blanks or hyphens that is ok, with the text around it through rest; else null."""
+    edge = lambda i: F.substr(m, i, F.lit(1)).isin(" ", "-")
+    starts = F.filter(F.sequence(F.lit(1), F.length(m)), lambda i: (i == 1) | edge(i - 1))
+    ends = F.filter(F.sequence(F.length(m), F.lit(1), F.lit(-1)), lambda i: (i == F.length(m)) | edge(i + 1))
+    parts = F.flatten(F.transform(starts, lambda a: F.transform(F.filter(ends, lambda b: b - a + 1 >= least), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    text = lambda p: F.substr(m, p["a"], p["b"] - p["a"] + 1)
+    put = lambda p: F.concat(F.substr(m, F.lit(1), p["a"] - 1), solve(text(p)), rest(F.substr(m, p["b"] + 1)))
+    return F.when(ok(m), solve(m)).otherwise(_bind(F.get(F.filter(parts, lambda p: ok(text(p))), F.lit(0)), lambda p: F.when(F.isnotnull(p), put(p))))
+
+
+def _iban_ok(m: Column) -> Column:
+    return m.rlike("^[A-Z]{2}[0-9]{2}") & _bind(F.replace(m, F.lit(" "), F.lit("")), lambda p: F.length(p).between(15, 34) & (_mod97(F.concat(F.substr(p, F.lit(5)), F.substring(p, 1, 4))) == 1))
+
+
 def _iban(key: str, m: Column) -> Column:
+    """Also of a match that took in what follows; a card number there is replaced too."""
+    return _within(m, 15, _iban_ok, lambda t: _whole_iban(key, t), lambda t: F.coalesce(_card(key, t), t))
+
+
+def _whole_iban(key: str, m: Column) -> Column:
     def solve(plain: Column) -> Column:
         body = F.substr(plain, F.lit(5))
         country = F.substring(plain, 1, 2)
@@ -120,7 +140,16 @@ def _iban(key: str, m: Column) -> Column:
     return _bind(F.replace(m, F.lit(" "), F.lit("")), solve)
 
 
+def _card_ok(m: Column) -> Column:
+    return _bind(digits(m), lambda d: F.length(d).between(13, 19) & m.rlike("^[0-9](?:[ -]?[0-9])*$") & (_luhn_sum(d, 1) % 10 == 0) & ~d.rlike("^(.)\\1*$"))
+
+
 def _card(key: str, m: Column) -> Column:
+    """Also of a match that took in the digits before or after (an expiry, a code)."""
+    return _within(m, 13, _card_ok, lambda t: _whole_card(key, t))
+
+
+def _whole_card(key: str, m: Column) -> Column:
     """First digit kept, the others permuted, the check digit made anew."""
 
     def solve(d: Column) -> Column:
@@ -234,7 +263,8 @@ def pseudonym(key: str, m: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """One row per input row: doc_id, text with pseudonyms, n_found, and n_<kind> for each kind.
 
-    A match that fails its check stays as it is and is not counted. Null text stays
+    A match that fails its check stays as it is and is not counted; of cards and IBANs
+    the parts between blanks or hyphens are tried before. Null text stays
     null and has no finds; so does an empty one. Rows are handled alone, so repeated
     rows give equal rows and an empty table gives none; only doc_id and text are
     read. Nothing is shuffled.

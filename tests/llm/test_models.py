@@ -300,6 +300,14 @@ def test_formats_and_checks(spark):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and iban[:2] == "GB"
 
 
+def test_cards_and_ibans_with_more_behind_or_before(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    (a, b), _ = changed(spark, card, iban)
+    texts = [f"{card} 12/27", f"{card} 123", f"12 {card}", f"{iban} EUR", f"{iban} {card}", "4111 1111 1111 1112 12", "BE68 5390 0754 7035 EUR"]
+    got, n = changed(spark, *texts)
+    assert got == [f"{a} 12/27", f"{a} 123", f"12 {a}", f"{b} EUR", f"{b} {a}", *texts[5:]] and n == [1, 1, 1, 1, 1, 0, 0]
+
+
 def test_permutations_are_one_to_one(spark):
     pairs = spark.range(800 * 3).select(pseudonyms.permute_pair("k", "t", F.col("id") % 80, F.floor(F.col("id") / 80), 80, 30).alias("p"))
     assert pairs.distinct().count() == 2400
