@@ -19,12 +19,12 @@ DEMO_KEY = "pagelith"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 PASSWORD = r"(?<![A-Za-z0-9])[Pp]assw(?:or)?d\s{0,3}[=:]\s{0,3}[^\s\"',;]{6,}"
-HEX_TOKEN = r"(?<![A-Za-z0-9])(?=[a-f]{0,40}[0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])"
+HEX_TOKEN = r"(?<![A-Za-z0-9])(?=[A-Fa-f]{0,40}[0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])"
 ISO_DATE = r"(?<![0-9-])[12][0-9]{3}-[01][0-9]-[0-3][0-9](?![0-9-])"
-SLASH_DATE = r"(?<![0-9/])[0-3][0-9]/[0-3][0-9]/[12][0-9]{3}(?![0-9/])"
-DOT_DATE = r"(?<![0-9.])[0-3][0-9]\.[01][0-9]\.[12][0-9]{3}(?![0-9])"
+SLASH_DATE = r"(?<![0-9/])[0-3]?[0-9]/[0-3]?[0-9]/[12][0-9]{3}(?![0-9/])"
+DOT_DATE = r"(?<![0-9.])[0-3]?[0-9]\.[01]?[0-9]\.[12][0-9]{3}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 NANP = r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
 PHONE = r"(?<![0-9+])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6}(?![0-9])"
@@ -209,7 +209,7 @@ def _ssn(key: str, m: Column) -> Column:
     return F.when(ok, _bind(permute_pair(key, "ssn", x, y, 898, 99 * 9999), shown))
 
 
-FIRST_DAY, DAYS = "1900-01-01", (365, 200)  # 73,000 days
+FIRST_DAY, DAYS = "1000-01-01", (945, 773)  # to 2999-12-31, all that the patterns accept
 
 
 def _date(key: str, value: Column, pattern: str) -> Column:
@@ -226,7 +226,12 @@ def _date(key: str, value: Column, pattern: str) -> Column:
 
 def _day(y: Column, m: Column, d: Column) -> Column:
     """The date, or null if the calendar has none."""
-    return F.to_date(F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("yyyy-MM-dd")))
+    return F.to_date(F.try_to_timestamp(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")))
+
+
+def _as_written(m: Column, date, pattern: str) -> Column:
+    """date(pattern), without leading zeros if m has a day or month of one digit."""
+    return F.when(m.rlike("(?:^|[/.])[0-9][/.]"), date(pattern.replace("dd", "d").replace("MM", "M"))).otherwise(date(pattern))
 
 
 def pseudonym(key: str, m: Column) -> Column:
@@ -234,18 +239,21 @@ def pseudonym(key: str, m: Column) -> Column:
     whole = lambda p: m.rlike(f"^(?:{p})$")
     part = lambda i, n: F.substring(m, i, n)
     after = lambda p: F.regexp_extract(m, p, 1)
-    slash_us, slash_eu = _day(part(7, 4), part(1, 2), part(4, 2)), _day(part(7, 4), part(4, 2), part(1, 2))
+    one, two, year = (after(f"^{'[0-9]+[/.]' * i}([0-9]+)") for i in range(3))
+    slash_us, slash_eu = _day(year, one, two), _day(year, two, one)
+    dated = lambda day, pattern: _as_written(m, lambda p: _date(key, day, p), pattern)
+    capitals = ~m.rlike("[a-z]")
     email = F.concat(permute_text(key, "email", F.lower(F.substring_index(m, "@", 1))), F.lit("@"), F.substring_index(m, "@", -1))
     assigned = r"^([^=:]*[=:]\s*)"
     rules = {
         "email": ("email", email),
         "access_key": ("secret", F.concat(F.lit("AKIA"), permute_text(key, "access", F.substr(m, F.lit(5))))),
         "password": ("secret", F.concat(after(assigned), permute_text(key, "password", F.regexp_replace(m, assigned, "")))),
-        "token": ("secret", permute_text(key, "token", m)),
+        "token": ("secret", F.when(capitals, F.upper(permute_text(key, "token", F.lower(m)))).otherwise(permute_text(key, "token", m))),
         "iban": ("iban", _iban(key, m)),
         "date_iso": ("date", _date(key, _day(part(1, 4), part(6, 2), part(9, 2)), "yyyy-MM-dd")),
-        "date_slash": ("date", F.when(F.isnotnull(slash_us), _date(key, slash_us, "MM/dd/yyyy")).otherwise(_date(key, slash_eu, "dd/MM/yyyy"))),
-        "date_dot": ("date", _date(key, _day(part(7, 4), part(4, 2), part(1, 2)), "dd.MM.yyyy")),
+        "date_slash": ("date", F.when(F.isnotnull(slash_us), dated(slash_us, "MM/dd/yyyy")).otherwise(dated(slash_eu, "dd/MM/yyyy"))),
+        "date_dot": ("date", dated(_day(year, two, one), "dd.MM.yyyy")),
         "ip": ("ip", _ip(key, m)),
         "ssn": ("ssn", _ssn(key, m)),
         "phone_nanp": ("phone", _phone_nanp(key, m)),

@@ -308,6 +308,13 @@ def test_cards_and_ibans_with_more_behind_or_before(spark):
     assert got == [f"{a} 12/27", f"{a} 123", f"12 {a}", f"{b} EUR", f"{b} {a}", *texts[5:]] and n == [1, 1, 1, 1, 1, 0, 0]
 
 
+def test_whole_range_of_dates_and_tokens_in_capitals(spark):
+    token = "9233a8ec" * 4
+    got, n = changed(spark, "1899-05-03", "2099-12-31", "1000-01-01 2999-12-31", "3/14/1985", "03/14/1985", "4.7.1985", token, token.upper(), "2021-02-29 31.4.1985")
+    assert n == [1, 1, 2, 1, 1, 1, 1, 1, 0] and "1899-05-03" not in got[0] and "2099-12-31" not in got[1] and got[7] == got[6].upper() != token.upper()
+    assert [int(x) for x in got[3].split("/")] == [int(x) for x in got[4].split("/")] != [3, 14, 1985] and re.fullmatch(r"\d\d?\.\d\d?\.\d{4}", got[5])
+
+
 def test_permutations_are_one_to_one(spark):
     pairs = spark.range(800 * 3).select(pseudonyms.permute_pair("k", "t", F.col("id") % 80, F.floor(F.col("id") / 80), 80, 30).alias("p"))
     assert pairs.distinct().count() == 2400
