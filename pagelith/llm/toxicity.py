@@ -9,6 +9,7 @@ score, learnt from a bounded sample of labelled documents.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -104,10 +105,18 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, model: CharModel) -> str:
-    """The likeliest reading of a token: Viterbi over states of the last two characters."""
+def decode(token: str, model: CharModel, edges: bool = False) -> str:
+    """The likeliest reading of a token: Viterbi over states of the last two characters.
+
+    edges: signs at its ends may also be plain punctuation, which costs nothing.
+    """
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(token):
+    steps = lattice(token)
+    if edges:
+        outer = lambda runs: list(itertools.takewhile(lambda k: steps[k][0][0][0] in EDGE, runs))
+        for k in {*outer(range(len(steps))), *outer(range(len(steps) - 1, -1, -1))}:
+            steps[k] = [*steps[k], ("", 0.0)]
+    for options in steps:
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, text) in states.items():
             for piece, cost in options:
@@ -122,8 +131,12 @@ def decode(token: str, model: CharModel) -> str:
     return max((s + model(a, b, 0), t) for (a, b), (s, t) in states.items())[1]
 
 
-_MIXED = re.compile(r"[^\W\d_][0-9@$!|+(<€£¡*#._~/-]+[^\W\d_]|^[0-9@$!|+(€£¡*#]+[^\W\d_]|[^\W\d_][0-9@$|+€£]+$|([^\W\d_])\1\1", re.I)
-SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*/~]){3,}\S(?!\w)")
+#: Edge signs that stand for no letter.
+SOFT = "".join(c for c in EDGE if c not in LEET)
+#: What the lattice has a second reading for: a letter again, or a sign that may be a letter or nothing.
+CODED = re.compile(rf"([^\W\d_])\1|[{re.escape(''.join(LEET) + SEPARATORS)}]")
+LETTER = re.compile(r"[^\W\d_]")
+SPACED = re.compile(r"(?<!\S)(?:[^\s.\-_*/~][ .\-_*/~]+){2,}[^\s.\-_*/~](?!\w)")
 
 
 def restore(token: str, model: CharModel) -> str:
@@ -132,10 +145,10 @@ def restore(token: str, model: CharModel) -> str:
     bare = token.strip(EDGE)
     if not bare:
         return ""
-    stretched = _MIXED.search(token.strip(".,;:?\"'()[]{}"))
-    if not stretched:
+    token = token.strip(SOFT)
+    if not CODED.search(token) or not (LETTER.search(token) or not any(map(str.isdigit, token))):
         return bare
-    return decode(token.strip(".,;:?\"'()[]{}"), model).strip(EDGE)
+    return decode(token, model, edges=True).strip(EDGE)
 
 
 def spaced(text: str, model: CharModel) -> list[str]:

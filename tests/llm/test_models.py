@@ -160,6 +160,24 @@ def test_spaced_letters(scorer):
     assert toxicity.spaced("you i d i o t and l.o.s.e.r", toxicity.CharModel(scorer[0].counts)) == ["idiot", "loser"]
 
 
+@pytest.mark.parametrize(("written", "meant"), [("stuupiid", "stupid"), ("looser.", "loser"), ("(the)", "the"), ("what!", "what"), ("2020-01-02", "2020-01-02")])
+def test_lattice_decides(scorer, written, meant):
+    assert toxicity.restore(written, toxicity.CharModel(scorer[0].counts)) == meant
+
+
+def test_every_coded_token_is_decoded(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "decode", lambda token, model, edges=False: seen.append(token) or token)
+    words = ["shiit", "fuucckk", "fuc*", "stupi!", "(unt", "<unt", "plain", "12-3"]
+    for w in words:
+        toxicity.restore(w, None)
+    assert seen == words[:6]
+    seen.clear()
+    toxicity.spaced("a s s or i  d  i  o  t or s.-h.-i.-t and a b", None)
+    assert seen == ["ass", "idiot", "shit"]
+    assert toxicity.spaced("-" * 5000 + "a" + ". " * 5000 + "b", None) == []
+
+
 def test_viterbi_is_best(scorer):
     import itertools
 
