@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame expressions only.
 
 Numbers, units and names become typed placeholders; windows of template tokens are
-hashed and joined with the benchmark's. Where a window meets, the whole item is laid
-beside the document: tokens are compared one by one, and slots must map one to one,
-so a question asked with other values is caught and a mere likeness of form is not.
+hashed and joined with the benchmark's; only keys and places go through that join.
+Where a window meets, the whole item is laid beside the document: tokens are compared
+one by one, and slots must map one to one, so a question asked with other values is
+caught and a mere likeness of form is not.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelith.llm.common import row_keys
+from pagelith.llm.common import materialise, row_keys
 
 WINDOW = 4
 COVERAGE = 0.6
-#: Benchmark windows are broadcast up to this many rows of three numbers; beyond, they are joined by shuffle.
+#: With fewer literal tokens than this beside the document, slots must hold equal values.
+EVIDENCE = 2
+#: Benchmark windows, and places where they were met, are broadcast up to this many rows of a few numbers; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Benchmark texts are broadcast up to this many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -29,10 +32,14 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 def template_text(text: Column) -> Column:
-    """Text with placeholders, lower-cased, without punctuation; white space stays, so tokens stay aligned."""
-    t = F.regexp_replace(text, r"(?<![\p{L}\p{N}_])[+-]?[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
+    """Text with placeholders, lower-cased, without punctuation; white space stays, so tokens stay aligned.
+
+    Repeated groups are possessive: a list of any length is matched in a loop, not by recursion.
+    """
+    t = F.translate(text, NUMBER + UNIT + NAME, "")
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}_])[+-]?[0-9]++(?:[.,:/][0-9]++)*+", NUMBER)
     t = F.regexp_replace(t, rf"(?i)(?<={NUMBER} ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
-    t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}\p{{N}}{NUMBER},;] )\p{{Lu}}\p{{Ll}}[\p{{L}}'’-]*", NAME)
+    t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}\p{{N}}{NUMBER},;] )\p{{Lu}}\p{{Ll}}[\p{{L}}'’-]*+", NAME)
     t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUMBER}{UNIT}{NAME}\s]+", "")
     return F.btrim(t, F.lit(SPACE))
 
@@ -63,35 +70,49 @@ def _windows(toks: Column, widths: list[int]) -> Column:
     return F.element_at(F.transform(F.array(hashed), lambda h: F.concat(*(of(h, w) for w in widths))), 1)
 
 
-def _laid(dt: Column, dr: Column) -> Column:
-    """Item positions whose template tokens stand in the document at the shift; none if slots do not map one to one."""
-    there = lambda i: F.col("shift") + i
+def is_slot(token: Column) -> Column:
+    return token.contains(NUMBER) | token.contains(UNIT) | token.contains(NAME)
+
+
+def _laid(dt: Column, dr: Column, shift: Column) -> Column:
+    """Item positions whose template tokens stand in the document at the shift; none without evidence (see leaks)."""
+    there = lambda i: shift + i
     matched = F.filter(
         F.sequence(F.lit(0), F.size("it") - 1),
         lambda i: (there(i) >= 0) & (there(i) < F.size(dt)) & (F.get("it", i) == F.get(dt, there(i))),
     )
 
+    def evident(m: Column) -> Column:
+        literals = F.size(F.filter(m, lambda i: ~is_slot(F.get("it", i))))
+        return F.when(literals >= EVIDENCE, m).when(literals > 0, F.filter(m, lambda i: F.get("ir", i) == F.get(dr, there(i)))).otherwise(F.array().cast("array<int>"))
+
     def consistent(m: Column) -> Column:
-        slots = F.filter(m, lambda i: F.get("it", i).rlike(f"[{NUMBER}{UNIT}{NAME}]"))
+        slots = F.filter(m, lambda i: is_slot(F.get("it", i)))
         count = lambda f: F.size(F.array_distinct(F.transform(slots, f)))
         pairs = count(lambda i: F.struct(F.get("ir", i), F.get(dr, there(i))))
         own, theirs = count(lambda i: F.get("ir", i)), count(lambda i: F.get(dr, there(i)))
         return F.when((pairs == own) & (pairs == theirs), m).otherwise(F.array().cast("array<int>"))
 
-    return F.element_at(F.transform(F.array(matched), consistent), 1)
+    for step in (evident, consistent):
+        matched = F.element_at(F.transform(F.array(matched), step), 1)
+    return matched
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """k1 (row key), item_id, coverage of the items found in each document.
+    """k1, k2 (row key), item_id, coverage of the items found in each document.
 
     An item is found if its slots map one to one and at least `coverage` of its tokens
     stand in the document, each beside its neighbours, a run of `window` of them unbroken
-    (n // 2 in an item of n < 2 * window tokens). Windows are made at every position, so
-    the offset does not matter. With k tokens changed such a run is left wherever they
-    stand if n >= window * (k + 1); a copy with more changes, each less than a window
-    from the next, is not met. What stands at several shifts is put together, but not
-    single tokens: items of less than 4 tokens must reach the coverage at one shift.
-    Null and empty texts and items match nothing.
+    (n // 2 in an item of n < 2 * window tokens) that holds a literal token. Windows are
+    made at every position, so the offset does not matter. With k tokens changed such a
+    run is left wherever they stand if n >= window * (k + 1); a copy with more changes,
+    each less than a window from the next, is not met. What stands at several shifts is
+    put together, but not single tokens: items of less than 4 tokens must reach the
+    coverage at one shift. Slots alone are no evidence: where fewer than EVIDENCE literal
+    tokens of an item stand at a shift, slots count only with equal values, and an item of
+    slots only ("42") is found nowhere. An item of one literal token is found where that
+    token stands. Null and empty texts and items match nothing; rows that repeat are found
+    alike. Whole texts of any length are read; the join carries a key and a place.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = items.select("item_id", tokens(template_text(F.col("text"))).alias("it"), tokens(plain_text(F.col("text"))).alias("ir")).where(
@@ -108,7 +129,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     for width, own in widths.items():
         long = F.size("it") >= 2 * window if width == window else F.lit(False)
         chosen = items.where(long | F.size("it").isin(own) if own else long)
-        part = chosen.select("item_id", F.explode(_windows(F.col("it"), [width])).alias("w")).select("item_id", F.col("w.pos").alias("ipos"), F.col("w.hash").alias("hash"))
+        part = chosen.select("item_id", "it", F.explode(_windows(F.col("it"), [width])).alias("w"))
+        literal = F.exists(F.slice("it", F.col("w.pos") + 1, width), lambda t: ~is_slot(t))
+        part = part.where(literal).select("item_id", F.col("w.pos").alias("ipos"), F.col("w.hash").alias("hash"))
         wins = part if wins is None else wins.unionByName(part)
     wins = wins.distinct()
     small = (shape["size"] or 0) <= BROADCAST_ROWS
@@ -116,28 +139,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     wins = F.broadcast(wins) if small else wins
     items = F.broadcast(items) if texts_small else items
 
-    canon = row_keys(docs).select("k1", "text", template_text(F.col("text")).alias("template"))
-    spots = _windows(tokens(F.col("template")), list(widths))
+    keyed = row_keys(docs)
+    spots = keyed.select("k1", "k2", _windows(tokens(template_text(F.col("text"))), list(widths)).alias("ws"))
     met = (
-        canon.select("k1", "text", "template", F.explode(spots).alias("w"))
-        .select("k1", "text", "template", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"))
+        spots.select("k1", "k2", F.explode("ws").alias("w"))
+        .select("k1", "k2", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"))
         .join(wins, "hash")
-        .groupBy("k1", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"))
-        .agg(F.any_value("text").alias("text"), F.any_value("template").alias("template"))
+        .groupBy("k1", "k2", "item_id")
+        .agg(F.collect_set(F.col("pos") - F.col("ipos")).alias("shifts"))
     )
+    met = materialise(met, "met")
+    places = met.agg(F.sum(F.size("shifts") + 4)).first()[0] or 0
+    met = F.broadcast(met) if places <= BROADCAST_ROWS else met
     # one array element binds the document's tokens, so that they are split once
-    sides = F.array(F.struct(tokens(F.col("template")).alias("dt"), tokens(plain_text(F.col("text"))).alias("dr")))
-    found = (
-        met.join(items, "item_id")
-        .select("k1", "item_id", F.size("it").alias("of"), F.element_at(F.transform(sides, lambda x: _laid(x["dt"], x["dr"])), 1).alias("matched"))
-        .where(F.size("matched") > 0)
-    )
+    sides = F.array(F.struct(tokens(template_text(F.col("text"))).alias("dt"), tokens(plain_text(F.col("text"))).alias("dr")))
+    laid = F.element_at(F.transform(sides, lambda x: F.transform("shifts", lambda s: _laid(x["dt"], x["dr"], s))), 1)
+    found = keyed.select("k1", "k2", "text").join(met, ["k1", "k2"]).join(items, "item_id").select("k1", "k2", "item_id", F.size("it").alias("of"), laid.alias("laid"))
+    at_one = F.array_max(F.transform("laid", lambda m: F.size(m)))
     return (
-        found.groupBy("k1", "item_id")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("n"), F.max(F.size("matched")).alias("at_one"), F.max("of").alias("of"))
-        .withColumn("n", F.when(F.col("of") < 4, F.col("at_one")).otherwise(F.col("n")))
-        .select("k1", "item_id", (F.col("n") / F.col("of")).alias("coverage"))
+        found.select("k1", "k2", "item_id", (F.when(F.col("of") < 4, at_one).otherwise(F.size(F.array_distinct(F.flatten("laid")))) / F.col("of")).alias("coverage"))
         .where(F.col("coverage") >= coverage)
+        .groupBy("k1", "k2", "item_id")
+        .agg(F.max("coverage").alias("coverage"))
     )
 
 
@@ -145,11 +168,12 @@ def judge(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """One row per input row: doc_id, contaminated, n_items, item_ids (sorted), coverage (the best, or 0).
 
     Rows that repeat get equal rows; null text, an empty benchmark or an empty table
-    leave nothing to find. Only doc_id and text (item_id and text) are read.
+    leave nothing to find. Only doc_id and text (item_id and text) are read, so other
+    columns cannot clash.
     """
-    found = leaks(docs, benchmark, **parameters).groupBy("k1").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"))
-    own = row_keys(docs).select("k1", "doc_id")
-    return own.join(found, "k1", "left").select(
+    found = leaks(docs, benchmark, **parameters).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"))
+    own = row_keys(docs).select("k1", "k2", "doc_id")
+    return own.join(found, ["k1", "k2"], "left").select(
         "doc_id",
         F.isnotnull("item_ids").alias("contaminated"),
         F.when(F.isnotnull("item_ids"), F.size("item_ids")).otherwise(0).cast("long").alias("n_items"),
@@ -159,4 +183,5 @@ def judge(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
+    """judge() of all documents against all benchmark items: rows, nulls, ties and empty tables as there."""
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
