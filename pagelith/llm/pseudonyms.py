@@ -16,9 +16,10 @@ ROUNDS = 8
 #: The key of the registered query; a real run passes its own.
 DEMO_KEY = "pagelith"
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# possessive repeats are matched in a loop, and a look behind starts each run once: long runs take linear time
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-PASSWORD = r"(?<![A-Za-z0-9])[Pp]assw(?:or)?d\s{0,3}[=:]\s{0,3}[^\s\"',;]{6,}"
+PASSWORD = r"(?<![A-Za-z0-9])[Pp]assw(?:or)?d\s{0,3}[=:]\s{0,3}[^\s\"',;]{6,}+"
 HEX_TOKEN = r"(?<![A-Za-z0-9])(?=[A-Fa-f]{0,40}[0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])"
@@ -299,4 +300,5 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
 
 def op10_pii_pseudonyms(spark, sf_dir: str) -> DataFrame:
+    """pseudonymise() of all documents under the demonstration key; nulls, repeats and empty tables as there."""
     return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), DEMO_KEY)
