@@ -41,53 +41,59 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, salts:
     """
     keyed = row_keys(docs)
     whole = row_keys(docs, carry=True) if carry else keyed
-    lines = _line_hashes(keyed, min_chars)
     doc = F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long"))
+    # lines are hashed and shuffled once: the count and the join below read the same exchange. The salt, of the
+    # document, splits lines that a large part of all documents share, and keeps equal documents together
+    lines = (
+        _line_hashes(keyed, min_chars)
+        .select("k1", "k2", "pos", "h1", "h2", doc.alias("doc"), F.pmod(F.xxhash64(F.lit(6), doc), F.lit(salts)).cast("int").alias("salt"))
+        .repartition("h1", "h2", "salt")
+    )
     frequent = (
-        lines.select("h1", "h2", doc.alias("doc"))
-        .distinct()
+        lines.groupBy("h1", "h2", "salt", "doc")
+        .agg(F.lit(1).alias("one"))
+        .groupBy("h1", "h2", "salt")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper"))
         .groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("keeper"))
+        .agg(F.sum("n").alias("n_docs"), F.max("keeper").alias("keeper"), F.collect_list("salt").alias("held"))
         .where(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", "keeper", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        .select("h1", "h2", "keeper", F.explode("held").alias("salt"))
     )
-    # the salt splits lines that a large part of all documents share
     dropped = (
-        lines.withColumn("salt", F.pmod(F.col("k1"), F.lit(salts)).cast("int"))
-        .join(frequent, ["h1", "h2", "salt"])
-        .where(doc != F.col("keeper"))
+        lines.join(frequent, ["h1", "h2", "salt"])
+        .where(F.col("doc") != F.col("keeper"))
         .groupBy("k1", "k2")
         .agg(F.collect_set("pos").alias("gone"))
     )
     parts, kept = F.split("text", "\n"), ["row"] if carry else []
     gone = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
     return (
         whole.join(dropped, ["k1", "k2"], "left")
-        .select("doc_id", parts.alias("parts"), gone.alias("gone"), *kept)
+        .select("doc_id", "text", parts.alias("parts"), gone.alias("gone"), *kept)
         .select(
             "doc_id",
             *kept,
             F.size("parts").cast("long").alias("n_lines"),
             F.size("gone").cast("long").alias("n_dropped"),
-            F.when(F.size("gone") == 0, F.array_join("parts", "\n"))
-            .otherwise(F.array_join(F.filter("parts", lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
-            .alias("kept_text"),
+            F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n")).alias("kept_text"),
         )
     )
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """dedup_lines() of all documents, with a digest of the text that is left; nulls, repeats and empty tables as there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 OP8_SQL = r"""
 WITH docs AS (
-  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+  SELECT row_number() OVER () AS rid, doc_id AS shown, coalesce(doc_id, -9223372036854775808) AS doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
 ), lines AS (
-  SELECT rid, doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM docs
+  SELECT rid, shown, doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM docs
 ), keyed AS (
-  SELECT rid, doc_id, pos, line,
+  SELECT rid, shown, doc_id, pos, line,
          translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM lines
@@ -98,7 +104,7 @@ WITH docs AS (
   SELECT k.*, (f.key IS NOT NULL AND k.doc_id <> f.keeper) AS dropped
   FROM keyed k LEFT JOIN frequent f ON k.key = f.key
 )
-SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (dropped))::BIGINT AS n_dropped,
+SELECT min(shown) AS doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (dropped))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM judged GROUP BY rid
 """
