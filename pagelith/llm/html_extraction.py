@@ -190,4 +190,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
 
 def op2_html_extraction(spark, sf_dir: str) -> DataFrame:
+    """extract_pages() of all pages; nulls, repeats and empty tables as there."""
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -6,10 +6,12 @@ import re
 from html import unescape
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is never text of the page.
-RAW = frozenset("script style template noscript iframe object svg math textarea select head title canvas audio video".split())
+#: Their content is never text of the page. Without an end tag, that of the first kind goes on to the end of the page.
+RAW_TEXT = frozenset("script style textarea title iframe noscript template".split())
+RAW = RAW_TEXT | frozenset("object svg select head canvas audio video annotation annotation-xml".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr button".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr button "
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mspace mpadded menclose semantics".split()
 )
 CONTROLS = frozenset("input button select textarea label option".split())
 #: A start tag closes these open elements, up to a boundary.
@@ -18,7 +20,8 @@ CLOSES = {
     "tfoot": ("thead", "tbody", "tr", "td", "th"), "option": ("option",),
 }
 BOUNDARY = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "tfoot": ("table",), "option": ("select",)}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# possessive, and a tag that the page's end cuts off is a token too: each character is looked at a bounded number of times
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:@][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
@@ -45,6 +48,7 @@ def parse(html: str | None) -> Node:
     open_: list[tuple[str, Node | None]] = []  # element name, its block node or None for inline
     links = 0
     at, size = 0, len(html)
+    endless: set[str] = set()  # elements without an end tag from here on
 
     def text(s: str) -> None:
         if "&" in s:
@@ -79,6 +83,8 @@ def parse(html: str | None) -> Node:
             if m.group(0).startswith("<![CDATA["):
                 text(m.group(0)[9:].removesuffix("]]>"))
             continue
+        if not m.group(0).endswith(">"):
+            break
         name = name.lower()
         if m.group(1):
             if name == "p" and not any(n == "p" for n, _ in open_):
@@ -97,13 +103,14 @@ def parse(html: str | None) -> Node:
                 node.controls += 1
             continue
         if name in RAW:
-            if not raw.rstrip().endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                if name == "head":
-                    body = re.compile(r"</head\s*>|<body[\s>]", re.I).search(html, at)
-                    at = body.start() if body and body.group(0)[1] != "/" else body.end() if body else at
+            if not raw.rstrip().endswith("/") and name not in endless:
+                stop = r"</head\s*>|<body[\s>]" if name == "head" else rf"</{name}\s*>"
+                end = re.compile(stop, re.I).search(html, at)
+                if end is None:
+                    endless.add(name)
+                    at = size if name in RAW_TEXT else at
                 else:
-                    at = end.end() if end else size
+                    at = end.end() if end.group(0)[1] == "/" else end.start()
             node.controls += name in CONTROLS
             continue
         if name in INLINE:
