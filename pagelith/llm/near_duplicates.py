@@ -2,12 +2,13 @@
 
 1. Each text gives the sorted set of hashes of its word n-grams, a MinHash signature
    and its band hashes. Texts with the same set are one class of copies.
-2. Representatives that share a band are candidates. Stars from a band's least
-   member, never pairs, connect them; their connected components bound where links
-   can be.
-3. The n-gram sets of a component's members meet, in blocks of bounded size, and
-   every pair is verified there. A task gives link counts and a spanning forest,
-   not pairs, so a large group of near copies makes no square of rows.
+2. Classes are shuffled on band hashes. Of buckets with the same members one is kept.
+   Within a bucket, in blocks of bounded size, whole signatures are compared; pairs
+   that agree in too few places to be linked go, so texts that merely share a band
+   do not chain. A task gives a spanning forest of the others, never pairs.
+3. Components of these forests bound where links can be. The n-gram sets of their
+   members meet, in blocks of bounded bytes, and every pair is verified there. A task
+   gives link counts and a forest again.
 4. Components of the verified forests are the groups.
 """
 
@@ -24,14 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelith.llm.anchors import gram_hashes, mix
-from pagelith.llm.common import materialise
+from pagelith.llm.common import discard, materialise
 
 NGRAM = 5
 THRESHOLD = (4, 5)  # similarity as a fraction
 #: Of all linked pairs, how many band hashes should bring together.
 RECALL = 0.9999
-#: Members of a component that one task compares at once.
-BLOCK = 512
+#: Members of a component, and bytes of their sets, that one task compares at once.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Members of a bucket whose signatures are compared at once.
+BUCKET = 1024
 
 
 def choose_bands(similarity: float, recall: float, unrelated: float = 0.3, most: int = 160) -> tuple[int, int]:
@@ -49,6 +52,16 @@ def choose_bands(similarity: float, recall: float, unrelated: float = 0.3, most:
     return best[1], best[2]
 
 
+def choose_agreement(similarity: float, places: int, recall: float) -> int:
+    """The most places of two signatures that linked texts agree in with that recall (binomial tail)."""
+    below = 0.0
+    for k in range(places + 1):
+        below += math.comb(places, k) * similarity**k * (1 - similarity) ** (places - k)
+        if below > 1 - recall:
+            return k
+    return places
+
+
 def grams(text: str | None, n: int = NGRAM) -> np.ndarray:
     """Sorted distinct 64-bit hashes of word n-grams; a shorter text is one n-gram of all its words."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -73,33 +86,37 @@ def set_key(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
-SIGNED = "doc_id long, set_key binary, bands array<long>"
+SIGNED = "doc_id long, set_key binary, size int, places binary, bands array<long>"
 
 
 def sign(docs: DataFrame, bands: int, rows: int, n: int = NGRAM) -> DataFrame:
-    """doc_id, a digest of the n-gram set (null if it is empty), and band hashes."""
+    """doc_id, a digest of the n-gram set (null if it is empty), its size, one byte of each place of the signature, and band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         band_seed = mix(np.arange(7, bands + 7, dtype=np.uint64))
         for b in batches:
-            keys, hashes = [], []
+            keys, sizes, places, hashes = [], [], [], []
             for text in b.column("text"):
                 found = grams(text.as_py(), n)
                 if not len(found):
                     keys.append(None)
+                    sizes.append(0)
+                    places.append(b"")
                     hashes.append([])
                     continue
                 keys.append(set_key(found))
+                sizes.append(len(found))
                 with np.errstate(over="ignore"):
                     s = signature(found, seeds).reshape(bands, rows)
+                    places.append((mix(s.ravel()) >> np.uint64(56)).astype(np.uint8).tobytes())
                     h = band_seed.copy()
                     for j in range(rows):
                         h = mix(h ^ s[:, j])
                 hashes.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))],
-                ["doc_id", "set_key", "bands"],
+                [b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(places, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))],
+                ["doc_id", "set_key", "size", "places", "bands"],
             )
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -125,6 +142,7 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), label)
         state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(now)  # the next round reads only the new table
         if state == before or state[0] == 0:
             break
         before, now = state, new
@@ -132,6 +150,87 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
     return stars.unionByName(new.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _grow(low: np.ndarray, step) -> np.ndarray:
+    """Least member of each connected group; step(roots) is the least root among a member's neighbours."""
+    while True:
+        new = np.minimum(low, step(low))
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def _agreeing(least: int):
+    """Rows (hash, i, j, side, node, places) sorted by hash, i, j -> a forest (a, b) of the pairs that agree in enough places."""
+
+    def solve(nodes: np.ndarray, sides: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(nodes)
+        near = np.zeros((n, n), bool)
+        for lo in range(0, n, 256):
+            same = np.zeros((min(256, n - lo), n), np.uint16)
+            for k in range(places.shape[1]):
+                same += places[lo : lo + 256, k, None] == places[None, :, k]
+            near[lo : lo + 256] = same >= least
+        if sides.any() and not sides.all():  # two blocks: only pairs across them
+            near &= sides[:, None] != sides[None, :]
+        np.fill_diagonal(near, True)
+        root = _grow(np.arange(n), lambda low: np.where(near, low[None, :], n).min(1))
+        child = np.flatnonzero(root != np.arange(n))
+        return nodes[child], nodes[root[child]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
+
+        def flush() -> pa.RecordBatch:
+            a = b = np.zeros(0, np.int64)
+            if len(held) > 1:
+                places = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), -1)
+                a, b = solve(np.array([r[1] for r in held], np.int64), np.array([r[0] for r in held], bool), places)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("hash", "i", "j", "side", "node", "places"))):
+                if row[:3] != key:
+                    if len(held) > 1:
+                        yield flush()
+                    held.clear()
+                    key = row[:3]
+                held.append(row[3:])
+        yield flush()
+
+    return run
+
+
+def _placed(members: DataFrame, key: str, parts) -> DataFrame:
+    """Members of each group dealt to its pairs of blocks (i, j), i <= j; side tells which of the two a member is of."""
+    own = F.pmod(F.xxhash64(F.lit(9), "node"), F.col("parts")).cast("int")
+    return (
+        members.withColumn("parts", parts.cast("int"))
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("i", F.least("own", "other"))
+        .withColumn("j", F.greatest("own", "other"))
+        .withColumn("side", (F.col("own") > F.col("other")).cast("int"))
+        .drop("own", "other", "parts")
+        .repartition(key, "i", "j")
+        .sortWithinPartitions(key, "i", "j", "side", "node")
+    )
+
+
+def agreeing(classes: DataFrame, least: int, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) that connect the classes which share a band and agree in at least `least` places."""
+    banded = classes.select("node", F.explode(F.array_distinct("bands")).alias("hash"))
+    digest = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"d{i}") for i in (1, 2)]
+    buckets = banded.groupBy("hash").agg(F.count(F.lit(1)).alias("k"), *digest).where("k > 1")
+    # near copies share many bands: of the buckets with the same members one is enough
+    buckets = buckets.groupBy("k", "d1", "d2").agg(F.min("hash").alias("hash")).select("hash", "k")
+    members = banded.join(buckets, "hash").join(classes.select("node", "places"), "node")
+    placed = _placed(members, "hash", F.ceil(F.col("k") / bucket)).select("hash", "i", "j", "side", "node", "places")
+    return placed.mapInArrow(_agreeing(least), "a long, b long")
+
+
 def _sets(n: int):
     """Rows (text, set_key, ...) -> the n-gram set of those whose set it is."""
 
@@ -159,14 +258,15 @@ def _verify(fraction: tuple[int, int]):
         shared = times[ids] > 1
         ids, owner = ids[shared], owner[shared]
         _, ids = np.unique(ids, return_inverse=True)
-        both = np.zeros((n, n), np.float32)
+        exact = np.float32 if sizes.max() < 1 << 24 else np.float64
+        both = np.zeros((n, n), exact)
         width = int(ids.max()) + 1 if len(ids) else 0
         step = max(1, (8 << 20) // n)
         order = np.argsort(ids, kind="stable")
         ids, owner = ids[order], owner[order]
         for lo in range(0, width, step):  # at most 8M cells at once
             a, b = np.searchsorted(ids, [lo, lo + step])
-            m = np.zeros((n, min(step, width - lo)), np.float32)
+            m = np.zeros((n, min(step, width - lo)), exact)
             m[owner[a:b], ids[a:b] - lo] = 1
             both += m @ m.T
         common = both.astype(np.int64)
@@ -174,16 +274,7 @@ def _verify(fraction: tuple[int, int]):
         np.fill_diagonal(linked, False)
         if sides is not None:  # two blocks: only pairs across them
             linked &= sides[:, None] != sides[None, :]
-        links = linked @ copies
-        root = np.arange(n)  # label propagation within the block
-        while True:
-            low = np.where(linked, root[None, :], n).min(1) if n else root
-            new = np.minimum(root, low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        return links, root
+        return linked @ copies, _grow(np.arange(n), lambda low: np.where(linked, low[None, :], n).min(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -232,39 +323,27 @@ def near_duplicates(
     repeat are copies of each other. Other columns are ignored; an empty table gives
     no rows; texts are read whole.
     """
-    bands, rows = choose_bands(similarity[0] / similarity[1], recall)
+    share = similarity[0] / similarity[1]
+    bands, rows = choose_bands(share, recall)
     lowest = F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))
     signed = materialise(sign(docs, bands, rows, n), "minhash")
     classes = materialise(
         signed.where("set_key IS NOT NULL")
         .groupBy("set_key")
-        .agg(F.min(lowest).alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
-        .withColumn("node", F.xxhash64("set_key")),
+        .agg(F.min(lowest).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("size", "places", "bands")).alias("s"))
+        .select("set_key", "rep", "copies", "s.*", F.xxhash64("set_key").alias("node")),
         "classes",
     )
-    banded = classes.select("node", F.explode("bands").alias("hash"))
-    met = banded.groupBy("hash").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    stars = banded.join(met, "hash").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    candidates = components(stars, "candidates")
-    wanted = candidates.join(classes.select("node", "set_key", "rep", "copies"), "node")
+    candidates = components(agreeing(classes, choose_agreement(share, bands * rows, recall)), "candidates")
+    wanted = candidates.join(classes.select("node", "set_key", "rep", "copies", "size"), "node")
+    # members by number and by bytes: a block of either bound, whatever the lengths of the texts
+    need = F.greatest(F.count(F.lit(1)) / block, F.sum(F.col("size").cast("long") * 8) / BLOCK_BYTES)
+    parts = wanted.groupBy("root").agg(F.ceil(need).alias("parts"))
     texts = docs.select(lowest.cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     members = texts.join(wanted, "rep").select("text", "set_key", "root", "node", "copies").mapInArrow(_sets(n), "root long, node long, copies long, grams binary")
-    sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    parts = F.ceil(F.col("size") / block).cast("int")
-    placed = (
-        members.join(sizes, "root")
-        .withColumn("parts", parts)
-        .withColumn("own", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("parts")).cast("int"))
-        # block pairs (i, j), i <= j, that hold the member's block
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(
-            "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
-            "node", "copies", "grams",
-        )
-    )
+    placed = _placed(members.join(parts.withColumnRenamed("parts", "p"), "root"), "root", F.col("p"))
     verified = materialise(
-        placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "node").mapInArrow(_verify(similarity), "node long, links long, root long"),
-        "verified",
+        placed.select("root", "i", "j", "side", "node", "copies", "grams").mapInArrow(_verify(similarity), "node long, links long, root long"), "verified"
     )
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")), "groups")
@@ -283,4 +362,5 @@ def near_duplicates(
 
 
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents; nulls, repeats and empty tables as there."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
