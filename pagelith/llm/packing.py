@@ -354,6 +354,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
+    """pack() of all documents; nulls, repeats and empty tables as there."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -46,7 +46,10 @@ def statistics(text: str | None) -> tuple[tuple[int, int, int, int, int], list[f
     seq = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, n)
     n_repeat = 0
     if n >= 3:
-        grams = (seq[:-2] * len(ids) + seq[1:-1]) * len(ids) + seq[2:]
+        pairs = seq[:-2] * len(ids) + seq[1:-1]
+        if len(ids) > 2_000_000:  # three numbers of words would not fit 63 bits
+            pairs = np.unique(pairs, return_inverse=True)[1]
+        grams = pairs * len(ids) + seq[2:]
         order = np.argsort(grams, kind="stable")
         same = grams[order[1:]] == grams[order[:-1]]
         if same.any():
@@ -93,7 +96,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
                 [b.column("doc_id"), b.column("quality"), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "quality", "x"]
             )
 
-    found = sorted(tuple(r) for r in rows.mapInArrow(features, "doc_id long, quality int, x array<double>").collect())
+    # one row for each labelled doc_id, however often it stands in docs
+    one = rows.mapInArrow(features, "doc_id long, quality int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r"))
+    found = sorted((r["doc_id"], r["r"]["quality"], r["r"]["x"]) for r in one.collect())
     if not found:
         return trees.fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.array([r[2] for r in found]), np.array([1 - min(max(r[1], 0), 1) for r in found])
@@ -146,5 +151,6 @@ def keep(docs: DataFrame, forest: trees.Forest, reject_at: float = REJECT_AT) ->
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """judge() of all documents by trees learnt from labels; nulls, repeats and empty tables as there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return judge(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
