@@ -3,6 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. The
 first four return the columns of documents, the last the pieces of sequences. Null
 texts are empty texts; a document that lines are dropped from has n_chars made anew.
+Extra columns pass through the first four stages whatever their names, since only
+doc_id and text are read; an empty table leaves every stage empty.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pagelith.llm.common import materialise, read, row_keys
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or that the trees reject go."""
+    """Documents that fail the base rules or that the trees reject go. Rows that repeat stay or go together."""
     return quality_rules.keep(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
 
 
@@ -32,18 +34,19 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_duplicates.near_duplicates(docs)
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(lowest.alias("doc")).distinct()
     # rows that repeat: one of them, without another shuffle of texts
-    kept = row_keys(docs, carry=True).withColumn("doc", lowest).join(stay, "doc", "left_semi").dropDuplicates(["doc", "k1"])
+    kept = row_keys(docs, carry=True).withColumn("doc", lowest).join(stay, "doc", "left_semi").dropDuplicates(["doc", "k1", "k2"])
     return kept.select(*((F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = decontamination.leaks(docs, read(spark, sf_dir, "benchmark")).select("k1").distinct()
-    kept = row_keys(docs, carry=True).join(leaks, "k1", "left_anti")
+    """Documents that hold a benchmark item go; all rows of an equal doc_id and text together."""
+    leaks = decontamination.leaks(docs, read(spark, sf_dir, "benchmark")).select("k1", "k2").distinct()
+    kept = row_keys(docs, carry=True).join(leaks, ["k1", "k2"], "left_anti")
     return kept.select(*((F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of all documents in sequences; a null text is one end token, a row that repeats is packed again."""
     return packing.pack(docs)
 
 
