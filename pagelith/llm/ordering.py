@@ -1,15 +1,14 @@
 """Sorting contexts of anchors, with the longest common prefix of each with the one before.
 
-Two orders are offered: deep-shallow sorting (a multikey quicksort's partition on a
-few symbols, then blind tries for groups whose common prefix is longer), and
-prefix-partitioned suffix trees (groups split by prefixes as long as it takes to
-fit a size, then a tree for each group). Both give the order of the rows within
-their group and the prefix lengths.
+Two orders are offered: deep-shallow sorting (a multikey quicksort to a shallow depth,
+then blind tries for groups whose common prefix is longer), and prefix-partitioned
+suffix trees (groups split by prefixes as long as it takes to fit a size, then a tree
+for each group). Both give the order of the rows within their group and the prefix
+lengths: where two neighbours part, that is the depth of the inner node they meet in.
 """
 
 from __future__ import annotations
 
-import sys
 from itertools import groupby
 
 import numpy as np
@@ -68,30 +67,71 @@ def blind_trie(texts: list[bytes]) -> tuple[list[int], list[int]]:
     return order, lcp
 
 
-def _words(texts: list[bytes], depth: int) -> np.ndarray:
-    """The 8 bytes from depth on, zero beyond the end, as big-endian numbers."""
-    return np.frombuffer(b"".join([t[depth : depth + 8].ljust(8, b"\0") for t in texts]), ">u8").astype(np.uint64)
+#: The quicksort goes so many bytes beyond what a group is known to share; blind tries order what still ties.
+SHALLOW = 16
+WORD = 8
 
 
-def deep_shallow(group: np.ndarray, texts: list[bytes], shallow: int) -> tuple[np.ndarray, np.ndarray]:
+def multikey_quicksort(group: np.ndarray, texts: list[bytes], depth: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of (group, `shallow` bytes from depth on), and where rows that tie begin; group is sorted already.
+
+    The characters are words of eight bytes (zero beyond the end of a text, which leaves
+    a tie). Each round takes every segment that is not done, its middle row's word as the
+    pivot, and parts it into less, equal and greater; the equal part goes on one word
+    deeper, until it is `shallow` bytes deep. All segments are partitioned at once.
+    """
+    n = len(texts)
+    size = np.array([len(t) for t in texts], np.int64)
+    start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+    data = np.frombuffer(b"".join(texts) + bytes(WORD), np.uint8)
+    place = np.arange(WORD)
+
+    def word(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        spot = np.minimum(start[rows] + at, len(data) - WORD)
+        found = np.where(at[:, None] + place < size[rows][:, None], data[spot[:, None] + place], 0)
+        return found.astype(np.uint8).view(">u8").ravel().astype(np.uint64)
+
+    order = np.arange(n)
+    head = np.ones(n, bool)  # of segments
+    head[1:] = group[1:] != group[:-1]
+    deep = np.full(n, depth, np.int64)  # of the segment at a place
+    while True:
+        first = np.flatnonzero(head)
+        sizes = np.diff(np.append(first, n))
+        open_ = (sizes > 1) & (deep[first] < depth + shallow)
+        if not open_.any():
+            return order, first
+        first, sizes = first[open_], sizes[open_]
+        segment = np.repeat(np.arange(len(first)), sizes)
+        spots = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        rows = order[spots]
+        words = word(rows, deep[spots])
+        pivot = words[np.concatenate([[0], np.cumsum(sizes)[:-1]]) + sizes // 2][segment]
+        side = (words > pivot).astype(np.int8) - (words < pivot)
+        by = np.argsort(segment * 3 + side + 1, kind="stable")
+        order[spots] = rows[by]
+        side = side[by]
+        head[spots[1:]] |= (side[1:] != side[:-1]) & (segment[1:] == segment[:-1])
+        deep[spots] += np.where(side == 0, WORD, 0)
+
+
+def deep_shallow(group: np.ndarray, texts: list[bytes], shared: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows ordered by (group, text) and prefix lengths; group is sorted already.
 
-    Rows of a group are known to share most of their first bytes, so the shallow
-    partition is made on the 8 bytes from depth `shallow` on (from 0 if they do not). Rows that tie there go
-    through a blind trie, which compares whole texts, as do neighbours across ties.
+    Rows of a group are known to share their first `shared` bytes, so the quicksort
+    begins there (at 0 if a collision of hashes put others together). Rows that tie at
+    its depth go through a blind trie, which compares whole texts.
     """
     n = len(texts)
     first, head_text = None, b""
     for g, t in zip(group.tolist(), texts):
         if g != first:
-            first, head_text = g, t[:shallow]
-        elif t[:shallow] != head_text:  # a hash collision put them together: partition from the start
-            shallow = 0
+            first, head_text = g, t[:shared]
+        elif t[:shared] != head_text:
+            shared = 0
             break
-    word = _words(texts, shallow)
-    order = np.lexsort((word, group))
+    order, head = multikey_quicksort(group, texts, shared)
     same_group = np.concatenate([[False], group[order[1:]] == group[order[:-1]]])
-    head = np.flatnonzero(~(same_group & np.concatenate([[False], word[order[1:]] == word[order[:-1]]])))
     lcp = np.zeros(n, np.int64)
     out = order.copy()
     ends = np.append(head[1:], n)
@@ -102,9 +142,9 @@ def deep_shallow(group: np.ndarray, texts: list[bytes], shallow: int) -> tuple[n
             for r in rows:
                 distinct.setdefault(texts[r], []).append(r)
             keys = list(distinct)
-            ranked, shared = blind_trie(keys)
+            ranked, prefix = blind_trie(keys)
             at = lo
-            for j, s in zip(ranked, shared):
+            for j, s in zip(ranked, prefix):
                 same = distinct[keys[j]]
                 out[at : at + len(same)] = same
                 lcp[at] = s
@@ -177,31 +217,31 @@ def prefix_trees(group: np.ndarray, texts: list[bytes], width: int, most: int =
     out: list[int] = []
     lcp: list[int] = []
 
-    def place(items: list[tuple[bytes, list[int]]], depth: int, shared: int) -> None:
-        if len(items) > most:
-            items.sort(key=lambda x: x[0][depth : depth + width])
-            first = shared
-            for _, part in groupby(items, key=lambda x: x[0][depth : depth + width]):
-                part = list(part)
-                place(part, depth + width if len(part[0][0]) > depth else depth, first)
-                first = depth
-            return
-        keys = [k for k, _ in items]
-        ranked, prefix = suffix_tree(keys, width, depth) if len(keys) > 1 else ([0], [shared])
-        prefix[0] = shared
-        for j, s in zip(ranked, prefix):
-            rows = items[j][1]
-            out.extend(rows)
-            lcp.append(s)
-            lcp.extend([len(keys[j])] * (len(rows) - 1))
+    def place(items: list[tuple[bytes, list[int]]]) -> None:
+        parts = [(items, 0, 0)]  # rows, depth of their common prefix, prefix shared with the rows before
+        while parts:
+            items, depth, shared = parts.pop()
+            if len(items) > most:
+                symbol = lambda x: x[0][depth : depth + width]  # noqa: E731, B023
+                items.sort(key=symbol)
+                found = [list(part) for _, part in groupby(items, key=symbol)]
+                longer = [(part, depth + width if len(part[0][0]) > depth else depth, depth) for part in found]
+                longer[0] = (*longer[0][:2], shared)
+                parts += reversed(longer)
+                continue
+            keys = [k for k, _ in items]
+            ranked, prefix = suffix_tree(keys, width, depth) if len(keys) > 1 else ([0], [shared])
+            prefix[0] = shared
+            for j, s in zip(ranked, prefix):
+                rows = items[j][1]
+                out.extend(rows)
+                lcp.append(s)
+                lcp.extend([len(keys[j])] * (len(rows) - 1))
 
     heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, int)
     for lo, hi in zip(heads.tolist(), np.append(heads[1:], len(group)).tolist()):
         distinct: dict[bytes, list[int]] = {}
         for r in range(lo, hi):
             distinct.setdefault(texts[r], []).append(r)
-        place(list(distinct.items()), 0, 0)
+        place(list(distinct.items()))
     return np.array(out, np.int64), np.array(lcp, np.int64)
-
-
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 5000))

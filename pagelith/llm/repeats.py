@@ -10,8 +10,11 @@
    enough, which the sorted order and its prefix lengths tell; the first by
    (doc_id, row, position) is the original. Only windows that the block does not
    remove are sent on, so a group of copies shrinks before it is shuffled. A hash
-   that many blocks hold is common: its contexts are sorted in salted groups first,
-   whose survivors alone meet in one group.
+   that many blocks hold is common: its contexts are sorted in salted groups first.
+   What they do not remove is cut into cells of CELL offsets, and the windows of a
+   cell meet by a hash of the longer run of symbols they all share (the window but for
+   CELL - 1 symbols). So the prefix a group is made by grows with how common it is,
+   and a phrase that stands among different texts does not bring them all together.
 3. Ranges of removed windows go back to their documents.
 
 Whole copies of a document are found by key first, and count as its windows.
@@ -25,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +43,8 @@ MET = 1  # the hash was met twice already within a block of documents
 MANY_BLOCKS = 1024
 COMMON = np.uint32(1 << 31)  # set on positions of common hashes
 SALTS = 64
+#: Offsets of a cell of a common hash.
+CELL = 16
 
 
 @dataclass
@@ -210,6 +216,12 @@ def _ranges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, begin, end - 1
 
 
+def _cells(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last column and cell of every run of True within a cell of columns."""
+    found = [(row, a + lo, b + lo, np.full(len(row), lo // CELL)) for lo in range(0, mask.shape[1], CELL) for row, a, b in [_ranges(mask[:, lo : lo + CELL])]]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+
+
 def _rank(doc: np.ndarray, key: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Equal (doc, key, pos) - a row that repeats - share a rank."""
     order = np.lexsort((pos, key, doc))
@@ -289,7 +301,8 @@ def _settle(kind: Kind, final: bool, flush: int = 24 << 20):
     """Contexts sorted by hash -> removed window starts, whole groups at a time.
 
     Not final: a group is a hash and salt; what a salted group does not remove is sent
-    on. Rows that tell of removed windows pass through.
+    on in cells, each under the hash of what its windows share. Rows that tell of
+    removed windows pass through.
     """
 
     def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,15 +324,18 @@ def _settle(kind: Kind, final: bool, flush: int = 24 << 20):
             yield _out([k, [-1] * n, [0] * n, k, [0] * n, [0] * n, [0] * n, [None] * n, blobs])
             if not final:
                 stay[many] &= ~(gone | again)
-        row, p, q = _ranges(stay) if not final else (np.zeros(0, np.int64),) * 3
+        if final:
+            return
+        row, p, q, cell = _cells(stay)
         for x in range(0, len(row), 20_000):
-            r, a, b = row[x : x + 20_000], p[x : x + 20_000], q[x : x + 20_000]
-            seg = t.column("seg").take(pa.array(r)).to_pylist()
-            part = [
-                s if i == 0 and j == u - l + kind.length else kind.part(s, i, j)
-                for s, i, j, l, u in zip(seg, (hi[r] - b).tolist(), (hi[r] - a + kind.length).tolist(), lo[r].tolist(), hi[r].tolist())
-            ]
-            yield _out([h[r], salt[r], ids[r], keys[r], pos[r], a, b, part, [None] * len(r)])
+            r, a, b, c = row[x : x + 20_000], p[x : x + 20_000], q[x : x + 20_000], cell[x : x + 20_000]
+            first = t.column("seg").take(pa.array(r)).to_pylist()
+            part = [kind.part(s, i, j) for s, i, j in zip(first, (hi[r] - b).tolist(), (hi[r] - a + kind.length).tolist())]
+            # in the part, the symbols that every window of the cell holds
+            last = np.minimum((c + 1) * CELL, kind.length - kind.k + 1) - 1
+            core = [kind.part(s, i, j) for s, i, j in zip(part, (b - c * CELL).tolist(), (b - last + kind.length).tolist())]
+            group = np.array([xxhash.xxh3_64_intdigest(s, seed=i) for s, i in zip(core, c.tolist())], np.uint64)
+            yield _out([group.view(np.int64), salt[r], ids[r], keys[r], pos[r], a, b, part, [None] * len(r)])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

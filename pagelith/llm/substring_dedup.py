@@ -1,8 +1,10 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
 Suffixes are taken at anchors (see repeats.py) and split by their first words, which
-an anchor's hash stands for; a group that is too large for one tree is split by
-longer prefixes. In each subtree the internal nodes deep enough are the repeats.
+an anchor's hash stands for. A prefix is as long as its group needs: where one is common,
+the words that all windows of a cell share take its place, and a group that is still too
+large for one tree is split by one word more, again and again. In each subtree an internal
+node at least as deep as a window's words are equal windows, the repeats.
 """
 
 from __future__ import annotations
@@ -111,5 +113,6 @@ def dedup_word_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """dedup_word_windows() of all documents; nulls, repeats and empty tables as there."""
     found = dedup_word_windows(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -1,7 +1,7 @@
 """Suffix-array dedup by deep-shallow sorting: repeated byte strings across and within documents.
 
-Suffixes are taken at anchors (see repeats.py). A multikey partition on a few bytes
-comes first; suffixes that tie, whose common prefix is long, are ordered by blind
+Suffixes are taken at anchors (see repeats.py). A multikey quicksort to a shallow depth
+comes first; suffixes that tie there, whose common prefix is long, are ordered by blind
 tries, which compare each text once.
 """
 
@@ -80,5 +80,6 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """dedup_substrings() of all documents; nulls, repeats and empty tables as there."""
     found = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
