@@ -124,3 +124,78 @@ def test_empty_null_and_clashing_columns(spark, operator):
     extra = ("a", "b", "c", 1, 2, "d", "e")
     rows = [(None, "some text", None, None, None, *extra), (None, None, None, None, None, *extra), (3, "some text", None, None, None, *extra), (3, "some text", None, None, None, *extra)]
     assert operator(spark.createDataFrame(rows, schema)).count() == 4
+
+
+def in_process(rows, kind):
+    """The tasks of repeats.remove one after another: removed window starts by document key."""
+    import pyarrow as pa
+
+    from pagelith.llm import repeats
+
+    def batch(table):
+        return iter(table.combine_chunks().to_batches()) if table.num_rows else iter(())
+
+    def run(task, table, schema=None):
+        return pa.Table.from_batches(list(task(batch(table))), schema)
+
+    docs = pa.table({"text": [t for _, t in rows], "k1": [d for d, _ in rows], "doc_id": [d for d, _ in rows]})
+    met = run(repeats._met_twice, run(repeats._anchor_blocks(kind, 1), docs).select(["k1", "blob", "whole"]), pa.schema([("k1", pa.int64()), ("blob", pa.binary())]))
+    blobs = {}
+    for k, b in zip(met.column("k1").to_pylist(), met.column("blob").to_pylist()):
+        blobs.setdefault(k, []).append(b)
+    wanted = docs.filter(pa.array([d in blobs for d, _ in rows]))
+    wanted = wanted.append_column("blobs", pa.array([blobs[d] for d in wanted.column("doc_id").to_pylist()], pa.list_(pa.binary())))
+    schema = pa.schema(list(zip(repeats._CONTEXT_NAMES, repeats._CONTEXT_TYPES)))
+    contexts = run(repeats._contexts(kind), wanted, schema).sort_by([("hash", "ascending"), ("salt", "ascending")])
+    combined = run(repeats._settle(kind, False), contexts, schema).sort_by("hash")
+    hot = [h for h, r in zip(combined.column("hash").to_pylist(), combined.column("removed").to_pylist()) if r is None]
+    gone = {}
+    for k, r in zip(*(run(repeats._settle(kind, True), combined, schema).column(c).to_pylist() for c in ("k1", "removed"))):
+        if r:
+            gone.setdefault(k, set()).update(p for a, b in np.frombuffer(r, "<i8").reshape(-1, 2).tolist() for p in range(a, b + 1))
+    return gone, hot
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_common_hashes_in_cells(monkeypatch, seed):
+    from pagelith.llm import repeats
+
+    for name, value in (("MANY_BLOCKS", 1), ("SALTS", 2), ("CELL", 3), ("BLOCK", 300)):
+        monkeypatch.setattr(repeats, name, value)
+    rows, seen = [], set()
+    for d, t, *_ in brute.awkward(seed):
+        if t and t not in seen:
+            seen.add(t)
+            rows.append((d, t))
+    gone, _ = in_process(rows, suffix_dedup.kind(30, 8))
+    for d, want in brute.bytes_dedup([(d, t, "", "", 0) for d, t in rows], 30).items():
+        covered = {p + i for p in gone.get(d, ()) for i in range(30)}
+        assert len(covered) == want[1]
+    gone, _ = in_process(rows, substring_dedup.kind(12, 4))
+    texts = dict(rows)
+    for d, want in brute.words_dedup([(d, t, "", "", 0) for d, t in rows], 12).items():
+        starts = np.array([(p, p) for p in sorted(gone.get(d, ()))], np.int64).reshape(-1, 2)
+        covered = {p + i for a, b in substring_dedup.with_equal_windows(texts[d], starts, 12).tolist() for p in range(a, b + 1) for i in range(12)}
+        assert len(covered) == want[1]
+
+
+def test_a_common_phrase_brings_no_large_group_together():
+    import random
+    from collections import Counter
+
+    r = random.Random(4)
+    other = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    phrase = "the quick brown fox jumps over the lazy dog and then it sleeps"
+    gone, hot = in_process([(i, other(200) + phrase + other(200)) for i in range(3000)], suffix_dedup.kind())
+    assert not gone and max(Counter(hot).values(), default=0) < 30
+
+
+def test_multikey_quicksort_is_shallow():
+    r = np.random.default_rng(8)
+    for _ in range(60):
+        texts = [b"shared" + bytes(r.integers(0, 2, r.integers(0, 30)).astype(np.uint8)) for _ in range(r.integers(1, 60))]
+        group = np.sort(r.integers(0, 4, len(texts)))
+        order, head = ordering.multikey_quicksort(group, texts, 6, 16)
+        keys = [(int(group[i]), texts[i][6:22].ljust(16, b"\0")) for i in order]
+        assert keys == sorted(keys)
+        assert head.tolist() == [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
