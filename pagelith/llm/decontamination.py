@@ -36,10 +36,14 @@ def template_text(text: Column) -> Column:
 
     Repeated groups are possessive: a list of any length is matched in a loop, not by recursion.
     """
-    t = F.translate(text, NUMBER + UNIT + NAME, "")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}_])[+-]?[0-9]++(?:[.,:/][0-9]++)*+", NUMBER)
-    t = F.regexp_replace(t, rf"(?i)(?<={NUMBER} ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
-    t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}\p{{N}}{NUMBER},;] )\p{{Lu}}\p{{Ll}}[\p{{L}}'’-]*+", NAME)
+    own = F.lit(False)
+    for c in (NUMBER, UNIT, NAME):
+        own = own | text.contains(c)
+    t = F.when(own, F.translate(text, NUMBER + UNIT + NAME, "")).otherwise(text)
+    # the look ahead fails at most places at once, before the look behind is tried
+    t = F.regexp_replace(t, r"(?=[-+0-9])(?<![\p{L}\p{N}_])[+-]?[0-9]++(?:[.,:/][0-9]++)*+", NUMBER)
+    t = F.regexp_replace(t, rf"(?i)({NUMBER} ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")
+    t = F.regexp_replace(t, rf"(?=\p{{Lu}}\p{{Ll}})(?<=[\p{{Ll}}\p{{N}}{NUMBER},;] )\p{{Lu}}\p{{Ll}}[\p{{L}}'’-]*+", NAME)
     t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUMBER}{UNIT}{NAME}\s]+", "")
     return F.btrim(t, F.lit(SPACE))
 
@@ -58,16 +62,26 @@ def width_of(n: int, window: int = WINDOW, coverage: float = COVERAGE) -> int:
     return min(window, n // 2 if n - 1 >= coverage * n else n)
 
 
-def _windows(toks: Column, widths: list[int]) -> Column:
-    """pos and hash of the windows of each width at every position; each token is hashed once."""
+def _windows(df: DataFrame, toks: Column, widths: list[int]) -> DataFrame:
+    """df without its texts, with n (tokens) and ws: hashes of the windows at all n positions, one width after the other.
 
-    def of(h: Column, width: int) -> Column:
-        one = lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(width), *(F.get(h, i + k) for k in range(width))).alias("hash"))
-        none = F.array().cast("array<struct<pos:int,hash:bigint>>")
-        return F.when(F.size(h) >= width, F.transform(F.sequence(F.lit(0), F.size(h) - width), one)).otherwise(none)
-
-    hashed = F.transform(toks, lambda t: F.xxhash64(t))
-    return F.element_at(F.transform(F.array(hashed), lambda h: F.concat(*(of(h, w) for w in widths))), 1)
+    A window's hash is made of those of two shorter ones. Windows that the end cuts short
+    have hashes too, which equal no whole window's. Explode ws with an outer generator: for
+    an inner one the optimiser would filter on its size first, and copy what makes it.
+    """
+    split = lambda k: 1 << ((k - 1).bit_length() - 1)  # noqa: E731  the first of the two
+    needed, todo = {1}, list(widths)
+    while todo:
+        k = todo.pop()
+        if k not in needed:
+            needed.add(k)
+            todo += [split(k), k - split(k)]
+    df = df.withColumn("w1", F.transform(toks, lambda t: F.xxhash64(t))).drop("text")
+    for k in sorted(needed - {1}):
+        first, rest = split(k), F.col(f"w{k - split(k)}")
+        df = df.withColumn(f"w{k}", F.transform(f"w{first}", lambda x, i: F.xxhash64(x, F.get(rest, i + first))))  # noqa: B023
+    ws = F.concat(*(F.col(f"w{k}") for k in widths))
+    return df.withColumn("n", F.size("w1")).withColumn("ws", ws).drop(*(f"w{k}" for k in needed))
 
 
 def is_slot(token: Column) -> Column:
@@ -119,34 +133,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
         F.element_at("it", 1) != ""
     )
     shape = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("it")).alias("size"), F.sum(F.length(F.array_join("ir", " "))).alias("bytes")).first()
-    # fewer than 2 * window lengths: a proven bound
-    lengths = [r["n"] for r in items.select(F.size("it").alias("n")).where(F.col("n") < 2 * window).distinct().collect()]
-    widths = {width_of(n, window, coverage): [] for n in (2 * window, *sorted(lengths))}
-    for n in lengths:
-        widths[width_of(n, window, coverage)].append(n)
-
-    wins = None
-    for width, own in widths.items():
-        long = F.size("it") >= 2 * window if width == window else F.lit(False)
-        chosen = items.where(long | F.size("it").isin(own) if own else long)
-        part = chosen.select("item_id", "it", F.explode(_windows(F.col("it"), [width])).alias("w"))
-        literal = F.exists(F.slice("it", F.col("w.pos") + 1, width), lambda t: ~is_slot(t))
-        part = part.where(literal).select("item_id", F.col("w.pos").alias("ipos"), F.col("w.hash").alias("hash"))
-        wins = part if wins is None else wins.unionByName(part)
-    wins = wins.distinct()
+    width = F.least(F.lit(window), F.when(F.size("it") - 1 >= coverage * F.size("it"), F.floor(F.size("it") / 2)).otherwise(F.size("it"))).cast("int")
+    # at most `window` numbers
+    widths = sorted({r["w"] for r in items.select(width.alias("w")).distinct().collect()} or {window})
+    literal = F.exists(F.slice("it", F.col("ipos") + 1, F.col("width")), lambda t: ~is_slot(t))
+    wins = (
+        _windows(items.withColumn("width", width), F.col("it"), widths)
+        .select("item_id", "it", "n", "width", F.posexplode_outer("ws").alias("p", "hash"))
+        .select("item_id", "it", "n", "width", "hash", (F.col("p") % F.col("n")).alias("ipos"), F.get(F.lit(widths), F.floor(F.col("p") / F.col("n")).cast("int")).alias("of"))
+        .where((F.col("of") == F.col("width")) & (F.col("ipos") + F.col("width") <= F.col("n")))
+        .where(literal)
+        .select("item_id", "ipos", "hash")
+        .distinct()
+    )
     small = (shape["size"] or 0) <= BROADCAST_ROWS
     texts_small = 4 * (shape["bytes"] or 0) <= BROADCAST_BYTES
     wins = F.broadcast(wins) if small else wins
     items = F.broadcast(items) if texts_small else items
 
     keyed = row_keys(docs)
-    spots = keyed.select("k1", "k2", _windows(tokens(template_text(F.col("text"))), list(widths)).alias("ws"))
+    spots = _windows(keyed.select("k1", "k2", "text"), tokens(template_text(F.col("text"))), widths)
     met = (
-        spots.select("k1", "k2", F.explode("ws").alias("w"))
-        .select("k1", "k2", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"))
+        spots.select("k1", "k2", "n", F.posexplode_outer("ws").alias("p", "hash"))
         .join(wins, "hash")
         .groupBy("k1", "k2", "item_id")
-        .agg(F.collect_set(F.col("pos") - F.col("ipos")).alias("shifts"))
+        .agg(F.collect_set(F.col("p") % F.col("n") - F.col("ipos")).alias("shifts"))
     )
     met = materialise(met, "met")
     places = met.agg(F.sum(F.size("shifts") + 4)).first()[0] or 0
