@@ -14,8 +14,9 @@ ALGORITHM_HEAD = rf"(?i)^algorithm\s*{NUMERAL}"
 SENTENCE_AFTER_DOT = r"(?i)^[.]\s+(?:the|this|these|those|it|we|our|a|an)(?![A-Za-z0-9_])"
 CAPTION_MARK = r"^[:：.\-–—]"
 ALGORITHM_VERB = r"(?i)^(?:is|are|was|were|shows?|presents?|describes?|illustrates?|uses?|contains?|requires?)(?![A-Za-z0-9_])"
-PROTECTED = r"⟦[^⟧]+⟧|\[\s*(?:\d+(?:\s*[-,]\s*\d+)*)\s*\]|(?<![A-Za-z0-9])[-+]?(?:\d+\.\d+|\d+)(?:%|‰)?"
-CITATION = r"^\[\s*(?:\d+(?:\s*[-,]\s*\d+)*)\s*\]$"
+# possessive, so that a list of any length is matched in a loop
+PROTECTED = r"⟦[^⟧]+⟧|\[\s*(?:\d+(?:\s*+[-,]\s*+\d++)*+)\s*\]|(?<![A-Za-z0-9])[-+]?(?:\d+\.\d+|\d+)(?:%|‰)?"
+CITATION = r"^\[\s*(?:\d+(?:\s*+[-,]\s*+\d++)*+)\s*\]$"
 NUMERIC = r"^[-+]?(?:\d+\.\d+|\d+)(?:%|‰)?$"
 POLLUTION = "翻译说明|译文说明|作为翻译|以下为译文|抱歉,我无法"
 FUNCTION_WORDS = (
@@ -120,7 +121,7 @@ def numbers(text: Column) -> Column:
 
 
 def structural_numbers(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"[-+]?\d+(?:,\d{3})*(?:\.\d+)?(?:[eE][-+]?\d+)?"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(r"[-+]?\d+(?:,\d{3})*+(?:\.\d+)?(?:[eE][-+]?\d+)?"), F.lit(0))
 
 
 def protected_tokens(text: Column) -> Column:

@@ -79,18 +79,25 @@ def lines_of(items: DataFrame, page_width: float | None = None) -> DataFrame:
 # --- splitting long texts ---------------------------------------------------------------------------
 
 
+#: Where a unit may end: a sentence with its closers, or a blank line (fixed values).
+UNIT_END = re.compile(r"(?:[.!?。！？][\"')\]]*\s+|\n{2,})")
+
+
 def split_oversized(text: str, most: int = UNIT_CHARS) -> list[str]:
-    """Cuts at the last sentence end in the second half, else at the last blank there, else at the limit."""
-    out = []
-    while len(text) > most:
-        head = text[:most]
-        ends = [m.end() for m in re.finditer(r"[.!?。！？][\"'”’)]*\s+", head) if m.end() >= most // 2]
-        cut = ends[-1] if ends else head.rfind(" ") + 1 if head.rfind(" ") >= most // 2 else most
-        out.append(text[:cut].strip())
-        text = text[cut:]
-    if text.strip():
-        out.append(text.strip())
-    return out
+    """Pieces of at most `most` characters: cut at the last unit end in the second half, else at the last blank there, else at the limit.
+
+    A cut may fall one character beyond the limit, on white space; pieces are trimmed.
+    """
+    out, rest = [], text.strip()
+    while len(rest) > most:
+        window = rest[: most + 1]
+        at = max((m.end() for m in UNIT_END.finditer(window)), default=0)
+        if 2 * at < most:
+            at = window.rfind(" ")
+        at = at if 2 * at >= most else most
+        out.append(rest[:at].strip())
+        rest = rest[at:].strip()
+    return [*out, rest] if rest else out
 
 
 def split_for_repair(text: str) -> list[str]:

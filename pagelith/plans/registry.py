@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pagelith.plans import document_queries, table_queries, text_queries
+from pagelith.plans import document_queries, preparation_queries, table_queries, text_queries
 
-QUERIES: dict = document_queries.QUERIES | table_queries.QUERIES | text_queries.QUERIES
-ORACLES: dict = document_queries.ORACLES | table_queries.ORACLES | text_queries.ORACLES
+_ALL = (document_queries, table_queries, text_queries, preparation_queries)
+QUERIES: dict = {name: f for module in _ALL for name, f in module.QUERIES.items()}
+ORACLES: dict = {name: sql for module in _ALL for name, sql in module.ORACLES.items()}

@@ -122,11 +122,11 @@ def throughput_median8(spark, d):
 
 
 @query(with_views("ai_log", body="""SELECT project, seq, type FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY seq DESC) AS r FROM (
-    SELECT *, row_number() OVER (PARTITION BY project, CASE WHEN type = 'view' THEN coalesce(tokens, 0) % 3 ELSE seq END, type = 'view' ORDER BY seq DESC) AS q FROM ai_log) WHERE q = 1 OR type <> 'view') WHERE r <= 20"""))
+    SELECT *, row_number() OVER (PARTITION BY project, CASE WHEN type = 'view' THEN coalesce(tokens, 0) % 3 ELSE seq END, type = 'view' ORDER BY seq DESC) AS q FROM ai_log) WHERE q = 1 OR type <> 'view') WHERE r <= 200"""))
 def ai_log_fold(spark, d):
     e = V.ai_log(spark, d).withColumn("kind", F.col("type")).withColumn("batch", F.coalesce("tokens", F.lit(0)) % 3 - 10)
     e = e.withColumn("type", F.when(F.col("kind") == "view", "batch-progress").otherwise(F.col("kind")))
-    return work.ai_log(e, 20).select("project", "seq", F.col("kind").alias("type"))
+    return work.ai_log(e).select("project", "seq", F.col("kind").alias("type"))
 
 
 _STAGED = ["START_PARSE", "PARSE_DONE", "LAYOUT_DONE", "GLOSSARY_DONE", "START_TRANSLATION", "BLOCKS_VALIDATED", "TRANSLATION_DONE", "COMPOSITION_DONE", "COMPILE_DONE", "QUALITY_STARTED", "PAUSED", "RESUME", "STOP_REQUESTED", "STOPPED"]

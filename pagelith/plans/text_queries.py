@@ -36,18 +36,24 @@ HEADS = [
 ]
 
 
-def paragraphs(spark, d) -> DataFrame:
-    """Groups of four lines, most with one of the heads."""
+def _groups_of_lines(spark, d) -> DataFrame:
+    """doc_id, grp, t: four lines each."""
     g = V.lines(spark, d).withColumn("grp", F.floor(F.col("line_no") / 4))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    g = g.groupBy("doc_id", "grp").agg(text.alias("t"))
+    return g.groupBy("doc_id", "grp").agg(text.alias("t"))
+
+
+def paragraphs(spark, d) -> DataFrame:
+    """Groups of four lines, half of them with one of the heads; every third head also alone, as a group below 0."""
     k = (F.col("doc_id") + F.col("grp")) % 24
     head = F.coalesce(F.get(F.array(*map(F.lit, HEADS)), k.cast("int")), F.lit(""))
-    body = F.when((k < 12) & (F.col("grp") % 3 == 0), "").otherwise(F.col("t"))
-    return g.select("doc_id", "grp", F.concat(head, body).alias("text"))
+    alone = F.when((k < 12) & (F.col("grp") % 3 == 0), F.array(F.struct((-1 - F.col("grp")).alias("grp"), head.alias("text"))))
+    whole = F.array(F.struct(F.col("grp"), F.concat(head, F.col("t")).alias("text")))
+    rows = F.concat(whole, F.coalesce(alone, F.slice(whole, 1, 0)))
+    return _groups_of_lines(spark, d).select("doc_id", F.explode(rows).alias("p")).select("doc_id", "p.grp", "p.text")
 
 
-_PARA = "pg AS (SELECT doc_id, line_no // 4 AS grp, string_agg(line, chr(10) ORDER BY line_no) AS t FROM lines GROUP BY ALL), para AS (SELECT doc_id, grp, coalesce([{}][(doc_id + grp) % 24 + 1], '') || CASE WHEN (doc_id + grp) % 24 < 12 AND grp % 3 = 0 THEN '' ELSE t END AS text FROM pg)".format(
+_PARA = "pg AS (SELECT doc_id, line_no // 4 AS grp, string_agg(line, chr(10) ORDER BY line_no) AS t FROM lines GROUP BY ALL), hd AS (SELECT *, coalesce([{}][(doc_id + grp) % 24 + 1], '') AS head FROM pg), para AS (SELECT doc_id, grp, head || t AS text FROM hd UNION ALL SELECT doc_id, -1 - grp, head FROM hd WHERE (doc_id + grp) % 24 < 12 AND grp % 3 = 0)".format(
     ", ".join("'" + h.replace("\n", "' || chr(10) || '") + "'" for h in HEADS)
 )
 
@@ -133,10 +139,10 @@ def wrapped_joins(spark, d):
 
 
 @query(with_views("lines", body=_PRE + r"""SELECT doc_id, grp, i::BIGINT AS pos, kind, text FROM (SELECT doc_id, grp, unnest([0, 1]) AS i, unnest(['figure', 'table']) AS kind,
-    unnest([trim('Figure ' || (grp + 1) || ': ' || trim(regexp_replace(t, '[^a-z ]', '', 'g'))), 'Table ' || (grp + 2) || '. x' || doc_id]) AS text FROM p)"""))
+    unnest([trim('Figure ' || (abs(grp) + 1) || ': ' || trim(regexp_replace(t, '[^a-z ]', '', 'g'))), 'Table ' || (abs(grp) + 2) || '. x' || doc_id]) AS text FROM p)"""))
 def merged_captions(spark, d):
     body = strip(F.regexp_replace(strip("text"), "[^a-z ]", ""))
-    m = F.concat(F.lit("Figure "), (F.col("grp") + 1).cast("string"), F.lit(": "), body, F.lit(" Table "), (F.col("grp") + 2).cast("string"), F.lit(". x"), F.col("doc_id").cast("string"))
+    m = F.concat(F.lit("Figure "), (F.abs("grp") + 1).cast("string"), F.lit(": "), body, F.lit(" Table "), (F.abs("grp") + 2).cast("string"), F.lit(". x"), F.col("doc_id").cast("string"))
     parts = paragraphs(spark, d).select("doc_id", "grp", F.posexplode(P.caption_parts(m)).alias("pos", "p"))
     return parts.select("doc_id", "grp", F.col("pos").cast("long").alias("pos"), "p.kind", strip("p.text").alias("text"))
 
@@ -281,20 +287,80 @@ def range_boxes(spark, d):
     return runs.range_boxes(g.select("doc_id", "source", "x", "y", "w", "h"), ranges)
 
 
-@query()
+def _n_words(line: str) -> str:
+    return f"len(regexp_extract_all({line}, '{rewrites.WORD}'))"
+
+
+def _squote(p: str) -> str:
+    return p.replace("'", "''").replace("++", "+")
+
+
+_STRIP = "trim({}, chr(32) || chr(9) || chr(10) || chr(13))"
+_FRAGMENT = f"({_n_words('l')} < 2 AND length(l) <= 40 AND (regexp_matches(l, '[{rewrites.MATH_SIGNS}-]') OR regexp_matches(l, '{rewrites.FEW_LETTERS}')))"
+_TAIL = f"(length(l) > 100 OR {_n_words('l')} > 1 OR NOT (regexp_matches(l, '{rewrites.TAIL_MATH}') OR regexp_matches(l, '^[0-9\\s.,()\\[\\]{{}}]+$')))"
+_REPAIRS = rf"""
+, split AS (SELECT doc_id, grp, text, regexp_split_to_array(text, '\r?\n') AS ls FROM para),
+flat AS (SELECT *, list_transform(ls, lambda l: {_STRIP.format("regexp_replace(l, '[ \t]+', ' ', 'g')")}) AS fl, list_filter(list_transform(ls, lambda l: {_STRIP.format("l")}), lambda l: l <> '') AS filled,
+    list_reverse(list_transform(ls[2:], lambda l: {_STRIP.format("l")})) AS tail FROM split),
+kept AS (SELECT *, list_filter(fl, lambda l: l <> '' AND NOT {_FRAGMENT}) AS k, len(list_filter(fl, lambda l: {_n_words("l")} >= 2)) > 0 AS has,
+    list_position(list_transform(filled, lambda l: {_n_words("l")} >= 3 AND regexp_matches(l, '(?i)\b(?:{rewrites.COMMON})\b')), true) AS prose_at,
+    coalesce(list_position(list_transform(tail, lambda l: {_TAIL}), true), len(tail) + 1) - 1 AS n_tail FROM flat),
+rows_ AS (SELECT doc_id, grp, unnest(k) AS l, unnest(list_transform(k, lambda x, i: coalesce(k[i - 1], ''))) AS before, unnest(range(len(k))) AS i FROM kept),
+raws AS (SELECT *, regexp_extract(l, '^(.*?){rewrites.WORD}', 1) AS raw, {_STRIP.format(f"regexp_extract(l, '^(.*?){rewrites.WORD}', 1)")} AS prefix FROM rows_),
+cut AS (SELECT doc_id, grp, string_agg(CASE WHEN length(raw) BETWEEN 1 AND 20 AND prefix <> '' AND NOT regexp_matches(raw, '^\s*[0-9]+[.)]\s*$') AND NOT regexp_matches(prefix, '^[(\[{{''"“‘]+$')
+    AND NOT regexp_matches(prefix, '{_squote(rewrites.ONLY_SHORT)}') AND NOT regexp_matches(prefix, '{rewrites.COUNTER}') AND NOT (i > 0 AND regexp_matches(before, '[-=+*/]\s*$'))
+    AND (regexp_matches(prefix, '[{rewrites.MATH_SIGNS}]') OR regexp_matches(prefix, '{_squote(rewrites.ONLY_LETTERS)}')) THEN substr(l, length(raw) + 1) ELSE l END, chr(10) ORDER BY i) AS joined FROM raws GROUP BY doc_id, grp)
+SELECT k.doc_id, k.grp, CASE WHEN has THEN {_STRIP.format("coalesce(joined, '')")} ELSE {_STRIP.format("text")} END AS prose,
+    len(filled) >= 4 AND len(list_filter(filled[1:greatest(coalesce(prose_at, 0) - 1, 0)], lambda l: {_FRAGMENT})) >= 2 AS scattered,
+    CASE WHEN len(list_filter(tail[1:n_tail], lambda l: regexp_matches(l, '{rewrites.TAIL_MATH}'))) > 0 THEN {_STRIP.format("array_to_string(ls[1:len(ls) - n_tail], chr(10))")} ELSE {_STRIP.format("text")} END AS untailed
+FROM kept k LEFT JOIN cut USING (doc_id, grp)
+"""
+
+
+@query(with_views("lines", body=f", {_PARA} {_REPAIRS}"))
 def line_repairs(spark, d):
     t = F.col("text")
-    p = paragraphs(spark, d)
-    return p.select(
-        "doc_id", "grp", rewrites.column(rewrites.without_math_lines)(t).alias("prose"), rewrites.column(rewrites.math_before_prose, "boolean")(t).alias("scattered"),
-        rewrites.column(rewrites.join_subscripts)(t).alias("subscripts"), rewrites.column(rewrites.without_trailing_formula)(t).alias("untailed"),
-        P.without_boilerplate(t).alias("plain"), P.without_punctuation_rows(t).alias("rows"),
-    )
+    return paragraphs(spark, d).select(
+        "doc_id", "grp", rewrites.without_math_lines(t).alias("prose"), rewrites.math_before_prose(t).alias("scattered"), rewrites.without_trailing_formula(t).alias("untailed")
+    )
 
 
-@query()
+#: Runs of equal short lines below a paragraph's first: of two, three or mixed case, or none.
+RUNS = ["\nmax\nmax", "\nmin\nMin\nmin", "\nmax", "", "\nij\nij\nThe Rest of it"]
+_SUB = rf"""
+, r AS (SELECT doc_id, grp, (doc_id + grp) % 5 AS j, 'We set Gain and Loss of ' || regexp_replace(t, '\s+', ' ', 'g') AS l FROM pg),
+m AS (SELECT *, regexp_replace(l, '\b([A-Z])\s+([a-z][A-Za-z]{{2,}})\b', '\1\2', 'g') AS w FROM r),
+f AS (SELECT *, regexp_extract_all(w, '\b(?:[A-Z][a-zA-Z]{{2,}}|[a-z]+[A-Z][A-Za-z]*)\b') AS found, string_split_regex(w, '\b(?:[A-Z][a-zA-Z]{{2,}}|[a-z]+[A-Z][A-Za-z]*)\b') AS gaps,
+    CASE j WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 4 THEN 2 ELSE 0 END AS n, CASE j WHEN 0 THEN 'max' WHEN 1 THEN 'min' WHEN 4 THEN 'ij' END AS mark FROM m),
+g AS (SELECT *, list_transform(found, lambda x: lower(x) NOT IN ({", ".join(f"'{w}'" for w in rewrites.SENTENCE_WORDS)})) AS ok FROM f),
+h AS (SELECT *, array_to_string(list_transform(gaps, lambda x, i: x || CASE WHEN i > len(found) THEN '' WHEN ok[i] AND len(list_filter(ok[1:i], lambda o: o)) <= n THEN found[i] || '_' || mark ELSE found[i] END), '') AS new,
+    len(list_filter(ok, lambda o: o)) AS names FROM g)
+SELECT doc_id, grp, {_STRIP.format("CASE WHEN n >= 2 AND names >= n THEN new || CASE WHEN j = 4 THEN chr(10) || 'The Rest of it' ELSE '' END ELSE l || [" + ", ".join("'" + r.replace(chr(10), "' || chr(10) || '") + "'" for r in RUNS) + "][j + 1] END")} AS joined FROM h
+"""
+
+
+@query(with_views("lines", body=f", {_PARA} {_SUB}"))
+def joined_subscripts(spark, d):
+    p = _groups_of_lines(spark, d)
+    run = F.get(F.array(*map(F.lit, RUNS)), ((F.col("doc_id") + F.col("grp")) % 5).cast("int"))
+    text = F.concat(F.lit("We set Gain and Loss of "), F.regexp_replace("t", r"\s+", " "), run)
+    return p.select("doc_id", "grp", rewrites.join_subscripts(text).alias("joined"))
+
+
+_HEADS_SQL = r"""
+, t AS (SELECT block_id, trim(regexp_replace(replace(text || ' 3.1 More Work C. Costs', chr(13), ''), '[ \t]+', ' ', 'g'), chr(32) || chr(9)) AS t FROM blocks WHERE type = 'section'),
+m AS (SELECT *, regexp_replace(t, '(?:^|\s)([0-9]{1,2}(?:\.[0-9]{1,2}){0,2}\.?|(?:[IVXLCDM]{2,8}|[IVX])\.?|[A-Z]\.)\s+([A-Za-zÀ-ɏ㐀-鿿])', chr(1) || '\1' || chr(2) || '\2', 'g') AS marked FROM t),
+p AS (SELECT block_id, t, starts_with(marked, chr(1)) AS led, CASE WHEN starts_with(marked, chr(1)) THEN string_split(marked, chr(1))[2:] ELSE [t] END AS parts FROM m WHERE t <> ''),
+e AS (SELECT block_id, led, unnest(parts) AS x, unnest(range(len(parts)))::INT AS part FROM p),
+n AS (SELECT block_id, part, CASE WHEN led THEN regexp_replace(split_part(x, chr(2), 1), '\.$', '') END AS number, CASE WHEN led THEN trim(split_part(x, chr(2), 2)) ELSE x END AS text FROM e)
+SELECT block_id, part, number, CASE WHEN number IS NULL THEN 1 WHEN regexp_matches(number, '^[0-9]') THEN least(3, length(number) - length(replace(number, '.', '')) + 1)
+    WHEN regexp_matches(number, '^(?:[IVXLCDM]{2,8}|[IVX])$') THEN 1 ELSE 2 END::INT AS level, text FROM n
+"""
+
+
+@query(with_views("blocks", body=_HEADS_SQL))
 def heading_parts(spark, d):
-    h = V.blocks(spark, d).where("type = 'section'").withColumn("joined", F.concat("text", F.lit(" 3.1 More Work")))
+    h = V.blocks(spark, d).where("type = 'section'").withColumn("joined", F.concat("text", F.lit(" 3.1 More Work C. Costs")))
     return rewrites.headings(h, "block_id", "joined")
 
 

@@ -11,25 +11,54 @@ from pagelith.operators import page_plans, rewrites, work
 from pagelith.sources import runs
 
 
-def test_heading_parts():
-    got = [(p["number"], p["level"], p["text"]) for p in rewrites.heading_parts("2 Background 2.1 Motivation")]
-    assert got == [("2", 1, "Background"), ("2.1", 2, "Motivation")]
-    assert [(p["number"], p["level"]) for p in rewrites.heading_parts("IV. Results")] == [("IV", 1)]
-    assert [(p["number"], p["level"]) for p in rewrites.heading_parts("C. Costs")] == [("C", 2)]
-    assert rewrites.heading_parts("Plain words") == [{"number": None, "level": 1, "text": "Plain words"}]
+def value(spark, f, text):
+    return spark.createDataFrame([(text,)], "t string").select(f(F.col("t"))).first()[0]
 
 
-def test_math_lines():
-    assert rewrites.without_math_lines("x = 3\nThe value of the sum\nm P . where it holds") == "The value of the sum\nwhere it holds"
-    assert rewrites.math_before_prose("a\nb = 2\nThe cost of the plan is\nlow")
-    assert not rewrites.math_before_prose("The cost of the plan\na\nb\nc")
-    assert rewrites.without_trailing_formula("Some words here\nx = y\n(3)") == "Some words here"
+def test_heading_parts(spark):
+    parts = lambda t: [(p.number, p.level, p.text) for p in value(spark, rewrites.heading_parts, t)]
+    assert parts("2 Background 2.1 Motivation") == [("2", 1, "Background"), ("2.1", 2, "Motivation")]
+    assert parts("IV. Results") == [("IV", 1, "Results")]
+    assert parts("C. Costs") == [("C", 2, "Costs")]
+    assert parts("Plain words") == [(None, 1, "Plain words")]
+    assert parts("1.2.3 Deep  words") == [("1.2.3", 3, "Deep words")] and parts(" ") == []
 
 
-def test_subscripts_and_biography():
-    assert rewrites.join_subscripts("We set Gain and Loss here\nmax\nmax") == "We set Gain_max and Loss_max here"
-    assert rewrites.join_subscripts("one word\nmax") == "one word\nmax"
-    assert rewrites.biography_start("text\nAnn B. Lee received the degree") == 5
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("x = 3\nThe value of the sum\nm P . where it holds", "The value of the sum\nwhere it holds"),
+        ("The value of it\nco-operate with others", "The value of it\nco-operate with others"),
+        ("The value of it\nto the end of it\n(see the text)", "The value of it\nto the end of it\n(see the text)"),
+        ("The value is y =\nx + two of them", "The value is y =\nx + two of them"),
+        ("The value of it\nx + two of them\n3) three of them", "The value of it\ntwo of them\n3) three of them"),
+        ("  a\nb ", "a\nb"),
+    ],
+)
+def test_math_lines(spark, text, expected):
+    assert value(spark, rewrites.without_math_lines, text) == expected
+
+
+def test_math_before_prose_and_tails(spark):
+    assert value(spark, rewrites.math_before_prose, "a\nb = 2\nThe cost of the plan is\nlow")
+    assert not value(spark, rewrites.math_before_prose, "The cost of the plan\na\nb\nc")
+    assert value(spark, rewrites.without_trailing_formula, "Some words here\nx = y\n(3)") == "Some words here"
+    assert value(spark, rewrites.without_trailing_formula, "Some words here\n(3)") == "Some words here\n(3)"
+
+
+def test_subscripts_and_biography(spark):
+    assert value(spark, rewrites.join_subscripts, "We set Gain and Loss here\nmax\nmax") == "We set Gain_max and Loss_max here"
+    assert value(spark, rewrites.join_subscripts, "We set Gain and Loss here\nmax\nmax\nMAX\nend") == "We set Gain and Loss here\nmax\nmax\nMAX\nend"
+    assert value(spark, rewrites.join_subscripts, "one word\nmax") == "one word\nmax"
+    assert value(spark, rewrites.biography_start, "text\nAnn B. Lee received the degree") == 5
+    assert value(spark, rewrites.biography_start, "nobody here") is None
+
+
+def test_log_keeps_two_hundred(spark):
+    rows = [(1, i, "batch-progress" if i % 10 == 0 else "note", i % 20) for i in range(500)]
+    got = work.ai_log(spark.createDataFrame(rows, "project int, seq int, type string, batch int")).collect()
+    progress = [r.seq for r in got if r.type == "batch-progress"]
+    assert len(got) == 200 and sorted(progress) == [480, 490] and min(r.seq for r in got) == 500 - 1 - 199 - (199 - 2) // 9 + 2
 
 
 @pytest.mark.parametrize(("left", "right", "expected"), [("effic", "ient use", "effic ient use"), ("in", "put", "input"), ("GP", "U-X now", "GPU-X now"), ("translat", "ion x", "translation x"), ("", "b", "b")])
