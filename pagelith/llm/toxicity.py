@@ -80,31 +80,46 @@ class CharModel:
         p1 = one / one.sum()
         p2 = (two + 5 * p1) / (two.sum(1, keepdims=True) + 5)
         p3 = (three + 5 * p2[None]) / (three.sum(2, keepdims=True) + 5)
-        self.log = np.log(p3)
+        self.log = np.log(p3).tolist()
 
     def __call__(self, a: int, b: int, c: int) -> float:
-        return float(self.log[a, b, c])
+        return self.log[a][b][c]
+
+
+def readings(run: str) -> list[tuple[str, float]]:
+    """What a run of equal characters may be, and the cost."""
+    c, n = run[0], len(run)
+    if c.isalpha():
+        kept = [(run, 0.0 if n < 3 else COST_STRETCH * (n - 2))]
+        fewer = [(c, COST_FEWER if n > 2 else COST_STRETCH)] if n > 1 else []
+        twice = [(c * 2, COST_FEWER)] if n > 2 else []
+        return kept + fewer + twice
+    options = [(run, COST_KEPT)]
+    options += [(x, COST_LEET + (1.0 if c in "*#" else 0.0)) for x in LEET.get(c, "")]
+    if n == 2:
+        options += [(x * 2, COST_LEET) for x in LEET.get(c, "")]
+    if c in SEPARATORS or c.isspace():
+        options.append(("", COST_DROP))
+    return options
+
+
+class _Steps(dict):
+    """Run -> its readings with their symbols, made once for each short run."""
+
+    def __missing__(self, run: str) -> list[tuple[str, float, tuple[int, ...]]]:
+        made = [(piece, cost, tuple(map(symbol, piece))) for piece, cost in readings(run)]
+        if len(run) <= 4 and len(self) < 100_000:
+            self[run] = made
+        return made
+
+
+_steps = _Steps()
+RUNS = re.compile(r"(.)\1*", re.S)
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """For each run of equal characters: what it may be, and the cost."""
-    out = []
-    for m in re.finditer(r"(.)\1*", token, re.S):
-        c, run = m.group(1), len(m.group(0))
-        if c.isalpha():
-            kept = [(c * run, 0.0 if run < 3 else COST_STRETCH * (run - 2))]
-            fewer = [(c, COST_FEWER if run > 2 else COST_STRETCH)] if run > 1 else []
-            twice = [(c * 2, COST_FEWER)] if run > 2 else []
-            out.append(kept + fewer + twice)
-            continue
-        options = [(c * run, COST_KEPT)]
-        options += [(x, COST_LEET + (1.0 if c in "*#" else 0.0)) for x in LEET.get(c, "")]
-        if run == 2:
-            options += [(x * 2, COST_LEET) for x in LEET.get(c, "")]
-        if c in SEPARATORS or c.isspace():
-            options.append(("", COST_DROP))
-        out.append(options)
-    return out
+    return [readings(m.group()) for m in RUNS.finditer(token)]
 
 
 def decode(token: str, model: CharModel, edges: bool = False) -> str:
@@ -112,25 +127,25 @@ def decode(token: str, model: CharModel, edges: bool = False) -> str:
 
     edges: signs at its ends may also be plain punctuation, which costs nothing.
     """
+    log = model.log
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    steps = lattice(token)
+    steps = [_steps[m.group()] for m in RUNS.finditer(token)]
     if edges:
         outer = lambda runs: list(itertools.takewhile(lambda k: steps[k][0][0][0] in EDGE, runs))
         for k in {*outer(range(len(steps))), *outer(range(len(steps) - 1, -1, -1))}:
-            steps[k] = [*steps[k], ("", 0.0)]
+            steps[k] = [*steps[k], ("", 0.0, ())]
     for options in steps:
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, text) in states.items():
-            for piece, cost in options:
+            for piece, cost, symbols in options:
                 s, x, y = score - cost, a, b
-                for c in piece:
-                    z = symbol(c)
-                    s += model(x, y, z)
+                for z in symbols:
+                    s += log[x][y][z]
                     x, y = y, z
                 if (x, y) not in new or s > new[x, y][0]:
                     new[x, y] = (s, text + piece)
         states = new
-    return max((s + model(a, b, 0), t) for (a, b), (s, t) in states.items())[1]
+    return max((s + log[a][b][0], t) for (a, b), (s, t) in states.items())[1]
 
 
 #: Edge signs that stand for no letter.
@@ -143,7 +158,8 @@ SPACED = re.compile(r"(?<!\S)(?:[^\s.\-_*/~][ .\-_*/~]+){2,}[^\s.\-_*/~](?!\w)")
 
 def restore(token: str, model: CharModel) -> str:
     """A lower-cased token, bare of signs at its edges, as it was probably meant."""
-    token = ZERO_WIDTH.sub("", token).translate(LOOKALIKES)
+    if not token.isascii():
+        token = ZERO_WIDTH.sub("", token).translate(LOOKALIKES)
     bare = token.strip(EDGE)
     if not bare:
         return ""
@@ -222,6 +238,7 @@ class Scorer:
 
     def run(self, texts: list[str | None], model: CharModel, cache: dict[str, tuple]) -> list[float]:
         out, weights = [], self.weights
+        starts = {f[: BEGINNINGS[0]] for f in weights if f[0] != "="}  # a word with no such start and no whole form has no feature
         for text in texts:
             low = (text or "").lower()
             found: set[str] = set()
@@ -230,7 +247,9 @@ class Scorer:
                 if hit is None:
                     if len(cache) > CACHED:
                         cache.clear()
-                    cache[t] = hit = tuple(f for f in features_of(restore(t, model)) if f in weights)
+                    word = restore(t, model)
+                    known = word[: BEGINNINGS[0]] in starts or f"={word}" in weights
+                    cache[t] = hit = tuple(f for f in features_of(word) if f in weights) if known else ()
                 if hit:
                     found.update(hit)
             for word in spaced(low, model):
