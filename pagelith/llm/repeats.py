@@ -11,9 +11,9 @@
    (doc_id, row, position) is the original. Only windows that the block does not
    remove are sent on, so a group of copies shrinks before it is shuffled. A hash
    that many blocks hold is common: its contexts are sorted in salted groups first.
-   What they do not remove is cut into cells of CELL offsets, and the windows of a
+   What they do not remove is cut into cells of some offsets, and the windows of a
    cell meet by a hash of the longer run of symbols they all share (the window but for
-   CELL - 1 symbols). So the prefix a group is made by grows with how common it is,
+   one symbol less than the cell has offsets). So the prefix a group is made by grows with how common it is,
    and a phrase that stands among different texts does not bring them all together.
 3. Ranges of removed windows go back to their documents.
 
@@ -43,9 +43,6 @@ MET = 1  # the hash was met twice already within a block of documents
 MANY_BLOCKS = 1024
 COMMON = np.uint32(1 << 31)  # set on positions of common hashes
 SALTS = 64
-#: Offsets of a cell of a common hash.
-CELL = 16
-
 
 @dataclass
 class Kind:
@@ -56,6 +53,7 @@ class Kind:
     order(group, contexts, shared) -> order, prefix lengths in symbols.
     encoder: contexts as comparable bytes, width bytes a symbol; None if they are that already.
     part(context, i, j): its symbols i..j-1.
+    cell: offsets of a cell of a common hash.
     """
 
     length: int
@@ -66,6 +64,7 @@ class Kind:
     width: int
     same_document: bool
     part: Callable
+    cell: int = 16
 
 
 def _blocks(rows: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict[str, list]]:
@@ -216,9 +215,9 @@ def _ranges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, begin, end - 1
 
 
-def _cells(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _cells(mask: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, first and last column and cell of every run of True within a cell of columns."""
-    found = [(row, a + lo, b + lo, np.full(len(row), lo // CELL)) for lo in range(0, mask.shape[1], CELL) for row, a, b in [_ranges(mask[:, lo : lo + CELL])]]
+    found = [(row, a + lo, b + lo, np.full(len(row), lo // size)) for lo in range(0, mask.shape[1], size) for row, a, b in [_ranges(mask[:, lo : lo + size])]]
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
 
 
@@ -326,14 +325,14 @@ def _settle(kind: Kind, final: bool, flush: int = 24 << 20):
                 stay[many] &= ~(gone | again)
         if final:
             return
-        row, p, q, cell = _cells(stay)
+        row, p, q, cell = _cells(stay, kind.cell)
         for x in range(0, len(row), 20_000):
             r, a, b, c = row[x : x + 20_000], p[x : x + 20_000], q[x : x + 20_000], cell[x : x + 20_000]
             first = t.column("seg").take(pa.array(r)).to_pylist()
             part = [kind.part(s, i, j) for s, i, j in zip(first, (hi[r] - b).tolist(), (hi[r] - a + kind.length).tolist())]
             # in the part, the symbols that every window of the cell holds
-            last = np.minimum((c + 1) * CELL, kind.length - kind.k + 1) - 1
-            core = [kind.part(s, i, j) for s, i, j in zip(part, (b - c * CELL).tolist(), (b - last + kind.length).tolist())]
+            last = np.minimum((c + 1) * kind.cell, kind.length - kind.k + 1) - 1
+            core = [kind.part(s, i, j) for s, i, j in zip(part, (b - c * kind.cell).tolist(), (b - last + kind.length).tolist())]
             group = np.array([xxhash.xxh3_64_intdigest(s, seed=i) for s, i in zip(core, c.tolist())], np.uint64)
             yield _out([group.view(np.int64), salt[r], ids[r], keys[r], pos[r], a, b, part, [None] * len(r)])
 

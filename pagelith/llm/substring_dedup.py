@@ -24,6 +24,8 @@ from pagelith.llm.suffix_dedup import spans
 LENGTH = 50
 #: Words an anchor is chosen by.
 GRAM = 10
+#: Windows of a common prefix meet by the words they share but for this number less one.
+CELL = 4
 #: A subtree has at most so many leaves.
 LEAVES = 4096
 
@@ -64,7 +66,7 @@ def tree_order(group: np.ndarray, texts: list[bytes], shared: int):
 
 
 def kind(length: int = LENGTH, gram: int = GRAM) -> Kind:
-    return Kind(length, min(gram, length), word_symbols, tree_order, intern, 4, False, lambda s, i, j: b" ".join(s.split(b" ")[i:j]))
+    return Kind(length, min(gram, length), word_symbols, tree_order, intern, 4, False, lambda s, i, j: b" ".join(s.split(b" ")[i:j]), CELL)
 
 
 def with_equal_windows(text: str | None, pairs: np.ndarray, length: int) -> np.ndarray:
