@@ -33,6 +33,8 @@ THRESHOLD = (4, 5)  # similarity as a fraction
 RECALL = 0.9999
 #: Members of a component, and bytes of their sets, that one task compares at once.
 BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: So many edges or nodes are broadcast; beyond, only nodes of more than HUB edges are, whose number is bounded by it.
+BROADCAST_EDGES, HUB = 200_000, 10_000
 #: Members of a bucket whose signatures are compared at once.
 BUCKET = 1024
 
@@ -123,6 +125,18 @@ def sign(docs: DataFrame, bands: int, rows: int, n: int = NGRAM) -> DataFrame:
     return rows_in.mapInArrow(run, SIGNED)
 
 
+def _with_least(edges: DataFrame, rows: int) -> DataFrame:
+    """Edges with m, the least b of their a. rows bounds the edges; no node's edges meet in one task."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    if rows <= BROADCAST_EDGES:
+        return edges.join(F.broadcast(least.select("a", "m")), "a")
+    hub = max(HUB, rows // BROADCAST_EDGES)
+    # at most rows / hub nodes have more than hub edges, no more than BROADCAST_EDGES: they are broadcast
+    hubs = F.broadcast(least.where(F.col("n") > hub).select("a", "m"))
+    others = edges.join(hubs.select("a"), "a", "left_anti").join(least.where(F.col("n") <= hub).select("a", "m"), "a")
+    return edges.join(hubs, "a").unionByName(others)
+
+
 def components(edges: DataFrame, label: str = "links") -> DataFrame:
     """Connected components of edges (a, b): node, root (its least node).
 
@@ -131,21 +145,20 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
     aggregated to its least neighbour.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    before = None
+    rows, before = now.count(), None
     while True:
         # large star: neighbours above a node go to the least of the node and its neighbours
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _with_least(both, 2 * rows).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
         # small star: a node and its neighbours below go to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), label)
+        ends = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = _with_least(large, 2 * rows).select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        new = materialise(small, label)
         state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(now)  # the next round reads only the new table
         if state == before or state[0] == 0:
             break
-        before, now = state, new
+        before, now, rows = state, new, state[0]
     stars = new.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(new.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
