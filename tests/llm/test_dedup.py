@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from dataclasses import replace
 from pathlib import Path
 
 import numpy as np
@@ -106,10 +107,15 @@ def test_near_duplicates(spark, block):
     assert got == brute.near(rows)
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("limits", [(200_000, 10_000), (5, 3)])
+def test_components_of_a_long_path(spark, monkeypatch, limits):
+    monkeypatch.setattr(near_duplicates, "BROADCAST_EDGES", limits[0])
+    monkeypatch.setattr(near_duplicates, "HUB", limits[1])
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in near_duplicates.components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+    hubs = spark.createDataFrame([(7, i) for i in range(8, 90)] + [(i, 200) for i in range(100, 150)] + [(200, 89)], "a long, b long")
+    assert {r.root for r in near_duplicates.components(hubs).collect()} == {7}
 
 
 def test_bands_reach_recall():
@@ -160,18 +166,18 @@ def in_process(rows, kind):
 def test_common_hashes_in_cells(monkeypatch, seed):
     from pagelith.llm import repeats
 
-    for name, value in (("MANY_BLOCKS", 1), ("SALTS", 2), ("CELL", 3), ("BLOCK", 300)):
+    for name, value in (("MANY_BLOCKS", 1), ("SALTS", 2), ("BLOCK", 300)):
         monkeypatch.setattr(repeats, name, value)
     rows, seen = [], set()
     for d, t, *_ in brute.awkward(seed):
         if t and t not in seen:
             seen.add(t)
             rows.append((d, t))
-    gone, _ = in_process(rows, suffix_dedup.kind(30, 8))
+    gone, _ = in_process(rows, replace(suffix_dedup.kind(30, 8), cell=3))
     for d, want in brute.bytes_dedup([(d, t, "", "", 0) for d, t in rows], 30).items():
         covered = {p + i for p in gone.get(d, ()) for i in range(30)}
         assert len(covered) == want[1]
-    gone, _ = in_process(rows, substring_dedup.kind(12, 4))
+    gone, _ = in_process(rows, replace(substring_dedup.kind(12, 4), cell=3))
     texts = dict(rows)
     for d, want in brute.words_dedup([(d, t, "", "", 0) for d, t in rows], 12).items():
         starts = np.array([(p, p) for p in sorted(gone.get(d, ()))], np.int64).reshape(-1, 2)
