@@ -281,12 +281,26 @@ def mask_restore(spark, d):
     return sequential.mask_blocks(V.blocks(spark, d))
 
 
-@query()
+#: A table of rests that lose a piece each round; cut is how much goes.
+_SPLIT = """WITH RECURSIVE r AS (SELECT {key} AS key, -1 AS part, {first} AS rest, '' AS piece FROM {source} WHERE text IS NOT NULL UNION ALL
+    SELECT key, part + 1, {trim_rest}, {trim_piece} FROM (SELECT *, {cut} AS cut FROM (SELECT *, {a} AS a, {b} AS b FROM r WHERE rest <> ''))) SELECT key AS {name}, part, piece AS text FROM r WHERE part >= 0"""
+_BARE = "trim({}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query(_SPLIT.format(
+    key="doc_id", name="doc_id", source="documents", first=_BARE.format("text"), trim_rest=_BARE.format("substr(rest, cut + 1)"), trim_piece=_BARE.format("left(rest, cut)"),
+    a=r"""length(regexp_extract(left(rest, 1801), '(?s)^(.*(?:[.!?。！？]["'')\]]*\s+|\n{2,}))', 1))""", b="length(regexp_extract(left(rest, 1801), '(?s)^(.*) ', 1))",
+    cut="CASE WHEN length(rest) <= 1800 THEN length(rest) WHEN 2 * a >= 1800 THEN a WHEN 2 * b >= 1800 THEN b ELSE 1800 END",
+))
 def oversized_split(spark, d):
     return sequential.pieces(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+@query(_SPLIT.format(
+    key="conv_id || '-' || turn", name="key", source="conversations", first="text", trim_rest="substr(rest, cut + 1)", trim_piece="left(rest, cut)",
+    a=r"""length(regexp_extract(left(rest, 340), '(?s)^(.*[.!?;:]\s*\s)', 1))""", b=r"length(regexp_extract(left(rest, 340), '(?s)^(.*\s)', 1))",
+    cut="CASE WHEN length(rest) <= 340 THEN length(rest) WHEN a > 120 THEN a WHEN b > 120 THEN b ELSE 340 END",
+))
 def repair_chunks(spark, d):
     return sequential.pieces(table(spark, d, "conversations").withColumn("key", F.concat_ws("-", "conv_id", "turn")), "key", "text", sequential.split_for_repair)
 
