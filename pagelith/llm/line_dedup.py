@@ -42,8 +42,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, salts:
     keyed = row_keys(docs)
     whole = row_keys(docs, carry=True) if carry else keyed
     doc = F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long"))
-    # lines are hashed and shuffled once: the count and the join below read the same exchange. The salt, of the
-    # document, splits lines that a large part of all documents share, and keeps equal documents together
+    # the salt, of the document, splits lines that a large part of all documents share, and keeps equal documents
+    # together. The count and the join below each hash the lines and shuffle the columns that they read: column
+    # pruning makes their exchanges differ, so neither is reused
     lines = (
         _line_hashes(keyed, min_chars)
         .select("k1", "k2", "pos", "h1", "h2", doc.alias("doc"), F.pmod(F.xxhash64(F.lit(6), doc), F.lit(salts)).cast("int").alias("salt"))
