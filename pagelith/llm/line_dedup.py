@@ -22,8 +22,9 @@ def line_key(line):
 def _line_hashes(keyed: DataFrame, min_chars: int) -> DataFrame:
     """One row per line that is long enough: row key, document, position, 128-bit hash."""
     lines = keyed.select("k1", "k2", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    keys = lines.select("k1", "k2", "doc_id", "pos", line_key(F.col("line")).alias("key"))
-    return keys.where(F.length("key") >= min_chars).select(
+    # small letters have the length of capitals, so only lines that are long enough are put into small letters
+    long = lines.where(F.length(F.btrim("line", F.lit(SPACE))) >= min_chars)
+    return long.select("k1", "k2", "doc_id", "pos", line_key(F.col("line")).alias("key")).select(
         "k1", "k2", "doc_id", "pos", F.xxhash64(F.lit(3), "key").alias("h1"), F.xxhash64(F.lit(4), "key").alias("h2")
     )
 
@@ -42,19 +43,21 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, salts:
     keyed = row_keys(docs)
     whole = row_keys(docs, carry=True) if carry else keyed
     doc = F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long"))
-    # the salt, of the document, splits lines that a large part of all documents share, and keeps equal documents
-    # together. The count and the join below each hash the lines and shuffle the columns that they read: column
-    # pruning makes their exchanges differ, so neither is reused
+    # the salt, of the document, splits lines that a large part of all documents share, and keeps equal documents together
+    salt = F.coalesce(F.pmod(F.xxhash64(F.lit(6), doc), F.lit(salts)).cast("int"), F.lit(0))
     lines = (
         _line_hashes(keyed, min_chars)
-        .select("k1", "k2", "pos", "h1", "h2", doc.alias("doc"), F.pmod(F.xxhash64(F.lit(6), doc), F.lit(salts)).cast("int").alias("salt"))
+        .select("k1", "k2", "pos", "h1", "h2", doc.alias("doc"), salt.alias("salt"))
         .repartition("h1", "h2", "salt")
     )
+    # lines are hashed and shuffled once: the count names every column that the join needs (some place of the line),
+    # so that both read the same exchange
+    place = F.coalesce(F.max("k1"), F.max("k2"), F.max("pos"))
     frequent = (
         lines.groupBy("h1", "h2", "salt", "doc")
-        .agg(F.lit(1).alias("one"))
+        .agg(place.alias("place"))
         .groupBy("h1", "h2", "salt")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper"))
+        .agg(F.count("place").alias("n"), F.max("doc").alias("keeper"))
         .groupBy("h1", "h2")
         .agg(F.sum("n").alias("n_docs"), F.max("keeper").alias("keeper"), F.collect_list("salt").alias("held"))
         .where(F.col("n_docs") >= min_docs)
