@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelith.functions import prose as P
 from pagelith.functions import targets as G
+from pagelith.functions.text import SPACES
 from pagelith.operators import crops as C
 from pagelith.operators import preparation as Q
 from pagelith.operators import store, work
@@ -207,6 +208,8 @@ def permitted_changes(spark, d):
 
 # --- targets ------------------------------------------------------------------------------------------
 
+#: What DuckDB's trim takes away: blanks of any width, no line breaks.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 _WORDS = ["It has a size of 5 mm 2 and 3 km 3.", "We use pytorchlib [3] for the model of it.", "2.1 Plain heading of it", "The plain words are here for you."]
 
 
@@ -234,8 +237,12 @@ def target_words(spark, d):
 @query(f"""WITH {_PV}, s AS (SELECT conv_id, turn, k, trim(regexp_replace(CASE turn % 3 WHEN 0 THEN 'Part 2.1  ' ELSE '' END || left(regexp_replace(target, '[0-9]', '', 'g'), 30), '^\\s+', '')) AS seg FROM p)
     SELECT conv_id, turn, CASE WHEN k = 2 AND turn % 3 = 0 THEN '2.1 ' || trim(regexp_replace('Part ' || substr(seg, 9), '\\s{{2,}}', ' ', 'g')) ELSE seg END AS heading FROM s""")
 def heading_numbers_first(spark, d):
-    seg = Q.strip(F.regexp_replace(F.concat(F.when(F.col("turn") % 3 == 0, "Part 2.1  ").otherwise(""), F.substring(F.regexp_replace("target", "[0-9]", ""), 1, 30)), r"^\s+", ""))
-    return _pairs(spark, d).select("conv_id", "turn", G.heading_number_first(F.lit("heading"), F.col("source"), seg).alias("heading"))
+    led = F.concat(F.when(F.col("turn") % 3 == 0, "Part 2.1  ").otherwise(""), F.substring(F.regexp_replace("target", "[0-9]", ""), 1, 30))
+    seg = F.btrim(F.regexp_replace(led, r"^[\t\n\f\r ]+", ""), F.lit(BLANKS))
+    # the operator trims all white space where it moves a number, the SQL blanks only: a line break may end a segment
+    end = F.rtrim(F.regexp_replace(F.regexp_extract(seg, rf"([{BLANKS}{SPACES}]*)\z", 1), r"[\t\n\f\r ]{2,}", " "), F.lit(BLANKS))
+    heading = G.heading_number_first(F.lit("heading"), F.col("source"), seg)
+    return _pairs(spark, d).select("conv_id", "turn", F.when(heading != seg, F.concat(heading, end)).otherwise(heading).alias("heading"))
 
 
 @query("""SELECT conv_id, turn, regexp_replace(nfc_normalize(text), '\\s+', '', 'g') || 'ABfi1' AS text FROM conversations WHERE text IS NOT NULL AND regexp_matches(text, '^[\\x00-\\x7F]*$')""")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 
+import duckdb
 import pytest
+from engines import same
 from pyspark.sql import functions as F
 
 from pagelith.functions import targets as G
 from pagelith.operators import crops as C
 from pagelith.operators import preparation as Q
 from pagelith.operators import sequential
+from pagelith.plans import preparation_queries
 
 UNIT = "doc_id int, unit_id string, kind string, ord int, page int, x double, y double, w double, h double, text string"
 
@@ -124,3 +127,14 @@ def test_units_are_cut_at_blank_lines_and_closers():
     assert sequential.split_oversized("a" * 60 + ".') " + "b" * 60, 100) == ["a" * 60 + ".')", "b" * 60]
     assert sequential.split_oversized("a" * 99 + ". " + "b" * 9, 100) == ["a" * 99 + ".", "b" * 9]
     assert sequential.split_oversized("a\nb" * 40, 100) == [("a\nb" * 40)[:100].strip(), ("a\nb" * 40)[100:].strip()]
+
+
+def test_headings_may_end_with_a_line_break(spark, tmp_path):
+    """The 30 characters of a segment may end at a line break, with or without blanks around it, in each kind of source."""
+    ends = ["\n", " \n", "\n ", "\n\n", " ", "\u00a0", "\u3000\n", "\r\n", "x"]
+    texts = [*(f"{'word ' * 5}{'w' * (5 - len(e))}{e}and what follows" for e in ends), "\n \u00a0\nabc", "\n" * 40, "", None]
+    c = duckdb.connect()
+    c.sql("create table conversations (conv_id bigint, turn integer, text varchar)")
+    c.executemany("insert into conversations values (?, ?, ?)", [(i, turn, t) for i, t in enumerate(texts * 4) for turn in range(6)])
+    c.sql(f"copy conversations to '{tmp_path}/conversations.parquet' (format parquet)")
+    same(preparation_queries.heading_numbers_first(spark, str(tmp_path)), preparation_queries.ORACLES["heading_numbers_first"], c)
