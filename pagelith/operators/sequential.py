@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,15 +178,37 @@ def mask_blocks(blocks: DataFrame) -> DataFrame:
 # --- finding text in text ----------------------------------------------------------------------------
 
 
+class _Signs(dict):
+    """Code point -> its compatibility form without blanks."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = "".join(n for n in unicodedata.normalize("NFKC", chr(code)) if not n.isspace())
+        return self[code]
+
+
+SIGNS = _Signs()
+_ASCII_SIGNS = np.array([len(SIGNS[c]) for c in range(128)])
+
+
+def flat(text: str) -> str:
+    """Characters normalised one by one, without blanks."""
+    plain = text.isascii() or unicodedata.is_normalized("NFKC", text)  # then each of its characters is, too
+    return "".join(text.split()) if plain else text.translate(SIGNS)
+
+
+def origins(text: str) -> np.ndarray:
+    """For each character of flat(text), its place in text."""
+    if text.isascii():
+        n = _ASCII_SIGNS[np.frombuffer(text.encode(), np.uint8)]
+    else:
+        codes, each = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+        n = np.array([len(SIGNS[c]) for c in codes.tolist()])[each]
+    return np.repeat(np.arange(len(text)), n)
+
+
 def squeeze(text: str) -> tuple[str, list[int]]:
     """Normalised text without blanks, and each character's place in the original."""
-    out, at = [], []
-    for i, c in enumerate(text):
-        for n in unicodedata.normalize("NFKC", c):
-            if not n.isspace():
-                out.append(n)
-                at.append(i)
-    return "".join(out), at
+    return flat(text), origins(text).tolist()
 
 
 def find_range(text: str, part: str, cursor: int = 0) -> tuple[int, int] | None:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-from pagelith.operators import graphs, ranges
+from pagelith.operators import graphs, ranges, sequential
+from pagelith.plans import text_queries
 
 
 def test_ordered_words_skip_a_number():
@@ -70,3 +71,44 @@ def test_group_errors(spark):
         "doc_id long, grp long, page long, id string, type string, role string, strong string, weak int",
     )
     assert {x.grp: x.code for x in graphs.group_errors(m, r).collect()} == {1: "multiple-group-membership", 2: "unknown-region", 3: "invalid-members"}
+
+
+def test_a_text_is_read_once_for_all_its_parts(spark, monkeypatch):
+    """Words and signs of the text are not made anew for each part, and nothing is shuffled to place them."""
+    read = []
+    monkeypatch.setattr(ranges, "words_of", lambda text, f=ranges.words_of: read.append(len(text)) or f(text))
+    text = ranges.Text(". ".join(f"alpha{i} beta{i} gamma{i} delta{i} words{i} other{i} things{i}" for i in range(200)))
+    cursor = 0
+    for i in range(200):
+        found, sure = ranges.locate(text, f"alpha{i} beta{i} gamma{i} words{i} other{i} things{i}", cursor)
+        assert sure == ranges.ORDERED and len(found) == 2 and found[0][0] >= cursor
+        cursor = found[-1][1]
+    assert sum(n > 1000 for n in read) == 1
+    rows = spark.createDataFrame([(1, "A b c. D e f g h.", [(0, "A b c."), (1, "D e g h.")]), (2, "", [])], "doc_id long, text string, listed array<struct<pos int, part string>>")
+    placed = ranges.place_listed(rows)
+    assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in placed.collect()} == {(1, 0, 0, 6, 1, 1.0), (1, 1, 7, 16, 2, 0.92)}
+
+
+def test_places_by_parts_and_by_lists_agree(spark, data):
+    docs = text_queries.table(spark, data, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    listed = text_queries.approximate_places(spark, data)
+    s = docs.select("doc_id", text_queries.F.posexplode(text_queries.T.sentences(text_queries.F.col("text"))).alias("pos", "part"))
+    gap = text_queries.F.regexp_replace("part", r"^(\S+ \S+ \S+ )\S+ ", "$1")
+    s = s.withColumn("part", text_queries.F.when(text_queries.F.col("pos") % 2 == 0, gap).otherwise(text_queries.F.col("part")))
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, ranges.place_parts(s, docs).collect()))
+
+
+def test_next_alike_beyond_the_near_words():
+    r = random.Random(7)
+    made = ["".join(r.choice("ab") for _ in range(r.randint(1, 9))) for _ in range(400)]
+    t = ranges.Text(" ".join(made))
+    for word in {*made[:80], "abababab", "c", "bbbbbbbbbbbb"}:
+        for at in (0, 50, 399, 400):
+            assert t.next_alike(word, at) == next((i for i in range(at, 400) if ranges.alike(made[i], word)), None)
+
+
+def test_squeeze_keeps_places():
+    for text in ("a b\tc\x1cd", "ﬁ x\u3000Ａ² é e\u0301", "", " "):
+        flat, at = sequential.squeeze(text)
+        assert len(flat) == len(at) and all(c in sequential.SIGNS[ord(text[i])] for c, i in zip(flat, at))
