@@ -6,6 +6,7 @@ import random
 
 from pagelith.operators import graphs, ranges, sequential
 from pagelith.plans import text_queries
+from pagelith.sources import runs
 
 
 def test_ordered_words_skip_a_number():
@@ -112,3 +113,37 @@ def test_squeeze_keeps_places():
     for text in ("a b\tc\x1cd", "ﬁ x\u3000Ａ² é e\u0301", "", " "):
         flat, at = sequential.squeeze(text)
         assert len(flat) == len(at) and all(c in sequential.SIGNS[ord(text[i])] for c, i in zip(flat, at))
+
+
+def test_boxes_of_stretches_are_those_of_their_characters(spark):
+    """Runs that follow, overlap, repeat, jump back or have no width; ranges that cut them and one beyond."""
+    r, rows, chars = random.Random(3), [], []
+    for doc in range(12):
+        source = 0
+        for _ in range(30):
+            n, x, y, width = r.choice([1, 2, 40, 333]), r.choice([50.0, 330.0, 114.0, r.uniform(0, 600)]), r.choice([40.0, 41.5, 58.0]), r.choice([64.0, 64.0, 7.3, 0.0])
+            rows.append((doc, source, n, x, y, width / n, 12.0))
+            chars += [(doc, source + k, x + k * (width / n), y, width / n, 12.0) for k in range(n)]
+            source += n + 1
+    of = "doc_id long, source long, {}x double, y double, w double, h double"
+    ranges_ = spark.createDataFrame([(d, k, 150 * k, 150 * k + 170) for d in range(12) for k in range(40)], "doc_id long, range_id long, first long, last long")
+    whole = runs.range_boxes(spark.createDataFrame(rows, of.format("n int, ")), ranges_).collect()
+    single = runs.range_boxes(spark.createDataFrame(chars, of.format("")), ranges_).collect()
+    by_key: dict = {}
+    for c in chars:
+        for k in range(40):
+            if 150 * k <= c[1] < 150 * k + 170:
+                out = by_key.setdefault((c[0], k), [])
+                b = out[-1] if out else None
+                if b and abs(c[3] - b[1]) <= 2 and c[2] <= b[0] + b[2] + 4 and b[0] <= c[2] + c[4] + 4:
+                    left, right = min(b[0], c[2]), max(b[0] + b[2], c[2] + c[4])
+                    b[0], b[2] = left, right - left
+                else:
+                    out.append([c[2], c[3], c[4], c[5]])
+    expected = sorted((*k, *b) for k, boxes in by_key.items() for b in boxes)
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, single)) == expected
+
+
+def test_no_row_per_character_is_shuffled(spark, data):
+    plan = text_queries.range_boxes(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode") == plan.count("posexplode(split") + 1 and "sequence(0, (n" not in plan
